@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,7 +35,7 @@ def _best(ids: list, vectors: np.ndarray, metric: str, k: int, arrow: pa.Schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array([x is not None and len(x) == vectors.shape[1] for x in batch.column("vector")]))
+            some = batch.filter(pc.equal(pc.list_value_length(batch.column("vector")), vectors.shape[1]))
             for s in range(0, some.num_rows, 2048):
                 part = some.slice(s, 2048)
                 keys = part.column("key").to_pylist()
