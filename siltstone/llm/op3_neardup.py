@@ -36,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, slices, utf8
@@ -308,24 +308,30 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
     return links
 
 
+def _measured(edges: DataFrame, tag: str) -> tuple[DataFrame, dict]:
+    """The edges, written, and their number and fingerprint, from the same pass."""
+    seen = Observation()
+    out = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")), tag)
+    return out, seen.get
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, comp (the smallest id reachable) of the links' ends: alternating large and small
     stars. An id's smallest neighbour comes from an aggregate with map-side combining;
     it is written before it is joined, so that the join has a plain exchange on both sides and a
     hub's partition can be split at run time."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    edges, state = _measured(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while state["n"]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = materialise(small, "small")
-        changed = not small.exceptAll(edges).isEmpty() or not edges.exceptAll(small).isEmpty()
+        joined = large.join(low, "u").select("u", "v", "m")
+        pairs = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small, after = _measured(pairs.select("e.u", "e.v").where("u <> v").distinct(), "small")
         discard(least, low, large, edges)
-        edges = small
-        if not changed:
+        edges, before, state = small, state, after
+        if state == before:
             break
     star = edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")))
     out = materialise(star.distinct(), "components")
@@ -348,11 +354,10 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
     reps = materialise(reps, "reps")
     near = alive(reps, p)
     sets = full_sets(docs, near.select("id").distinct(), p)
-    links, comps = None, None
-    for forest in (True, False):
-        found = confirm(candidates(_numbered(near, comps), p, forest), sets, p)
-        links = found if links is None else links.union(found)
-        comps = components(links)
+    comps = components(confirm(candidates(_numbered(near, None), p, True), sets, p))
+    more = confirm(candidates(_numbered(near, comps), p, False), sets, p)
+    if not more.isEmpty():
+        comps = components(more.union(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
     classes = materialise(_numbered(reps.select("fp", "id"), comps).select("fp", "comp"), "classes")
     discard(near, sets, reps)
     light = every.select("doc_id", "n_shingles", "fp")
