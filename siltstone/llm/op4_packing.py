@@ -202,9 +202,10 @@ def pack(docs: DataFrame, limit: int = 4096, vocabulary: str | None = None, keep
     runs, _ = best_fit_decreasing(histogram, limit)
     plan = {n: np.array(r, np.int64) for n, r in runs.items()}
     shared = docs.sparkSession.sparkContext.broadcast(plan)
+    # the bases grow with the tasks, so they are never broadcast
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     content = "ids" if keep_ids else "ids_crc32"
     columns = ["doc_id", "piece", "start", "length", content, "rank"]
 
