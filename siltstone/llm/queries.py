@@ -83,9 +83,10 @@ WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
 i AS (SELECT item_id, {_WORDS} w FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(13, len(w)) n, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') g
       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) s FROM i WHERE len(w) > 0)),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) s FROM d),
-m AS (SELECT DISTINCT doc_id, s, n, item_id FROM p, (SELECT DISTINCT n FROM g) k
-      JOIN g USING (n) WHERE s + n - 1 <= len(w) AND array_to_string(w[s:s + n - 1], ' ') = g),
+k AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) s, unnest(list_transform(range(1, len(w) - n + 2), lambda x: array_to_string(w[x:x + n - 1], ' '))) g
+      FROM d JOIN k ON len(w) >= n),
+m AS (SELECT DISTINCT doc_id, s, n, item_id FROM p JOIN g USING (n, g)),
 h AS (SELECT doc_id, count(DISTINCT pos) n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) pos FROM m) GROUP BY 1),
 t AS (SELECT doc_id, count(DISTINCT item_id) n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) items FROM m GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
