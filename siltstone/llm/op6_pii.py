@@ -124,10 +124,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query."""
     spans = F.col("findings")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(BASE))]
+    counts = [F.size(_of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = _listed(F.filter(spans, lambda s: s["kind"] < len(BASE)))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(spans).alias("spans"))
 
