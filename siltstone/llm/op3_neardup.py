@@ -18,7 +18,8 @@
     open is lost.
 4.  Components by alternating minimum stars over the confirmed links.
 
-Confirmation joins full texts by key; nothing is collected to the driver but counts.
+Confirmation joins full sets by key; nothing is collected to the driver but counts, and nothing that grows with the corpus
+is broadcast.
 A pair of similarity 0.8 is missed with a probability of about 1e-4: it meets in no tree
 with ``(1 - 0.8 ** 2) ** trees``, and the estimate's margin is four standard deviations.
 
@@ -265,8 +266,8 @@ def alive(reps: DataFrame, p: ForestParams) -> DataFrame:
 
     prefixes = materialise(reps.select("id", "sig").mapInArrow(run, "prefix long, id long"), "prefixes")
     shared = materialise(prefixes.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1").select("prefix"), "shared")
-    ids = materialise(prefixes.join(shared, "prefix", "left_semi").select("id").distinct(), "alive-ids")
-    out = materialise(reps.join(ids, "id", "left_semi"), "alive")
+    ids = materialise(prefixes.join(shared.hint("merge"), "prefix", "left_semi").select("id").distinct(), "alive-ids")
+    out = materialise(reps.join(ids.hint("merge"), "id", "left_semi"), "alive")
     discard(prefixes, shared, ids)
     return out
 
@@ -280,7 +281,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, p: ForestParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary())], names=["id", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    return materialise(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary"), "sets")
+    return materialise(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
@@ -296,10 +297,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs, "pairs")
-    used = materialise(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "used")
+    used = materialise(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id", "left_semi"), "used")
     out = (
-        pairs.join(used.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        .join(used.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        pairs.join(used.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+        .join(used.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(compare, "a long, b long")
     )
