@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_quality, op2_decontaminate, op3_neardup, op4_packing, op6_pii, op7_urls, op8_warc, op9_neighbours, op10_extract
+from . import op1_quality, op2_decontaminate, op3_neardup, op4_packing, op5_lm, op6_pii, op7_urls, op8_warc, op9_neighbours, op10_extract
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
 
 
+def op5_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the benchmark's texts, the background all documents."""
+    return op5_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_pii.digest(op6_pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op3_minhash_forest,
         op4_best_fit_packing,
+        op5_lm_cross_entropy,
         op6_pii_spans,
         op7_url_filter,
         op8_warc_zip,

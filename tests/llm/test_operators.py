@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import op1_quality, op2_decontaminate, op3_neardup, op4_packing, op6_pii, op7_urls, op8_warc, op9_neighbours, op10_extract
+from siltstone.llm import op1_quality, op2_decontaminate, op3_neardup, op4_packing, op5_lm, op6_pii, op7_urls, op8_warc, op9_neighbours, op10_extract
 
 RNG = random.Random(4)
 VOCABULARY = ["".join(RNG.choice("abcdefgé") for _ in range(RNG.randint(2, 7))) for _ in range(300)]
@@ -240,6 +240,30 @@ def test_packing(spark, docs, tokenizer):
     assert op4_packing.pack(empty(spark)).count() == 0
 
 
+# 5
+
+
+def test_cross_entropy_difference(spark, docs):
+    p = op5_lm.LMParams(words=1 << 10, pairs=1 << 12)
+    target = spark.createDataFrame([(awkward()[11][1],), (None,), ("",)], "text string")
+    texts = [t or "" for _, t, _ in awkward()]
+    tables = []
+    for group in ([awkward()[11][1]], texts):
+        table = np.zeros(p.words + p.pairs, np.int64)
+        for t in group:
+            w, pairs = op5_lm.numbers(t.encode(), p)
+            for k in [*w, *pairs]:
+                table[k] += 1
+        tables.append(table)
+    assert (op5_lm.counts(docs, p) == tables[1]).all() and (op5_lm.counts(target, p) == tables[0]).all()
+    got = op5_lm.score(docs, target, p).collect()
+    assert len(got) == len(texts) and all(math.isfinite(r.score) for r in got)
+    best = max(got, key=lambda r: r.score)
+    assert best.n_words == len(awkward()[11][1].split()) and best.score > 0
+    assert all((r.n_words, r.score) == (0, 0) for r in got if r.doc_id in (3, 4, 5))
+    assert op5_lm.score(empty(spark), target, p).count() == 0 and op5_lm.score(docs, target.limit(0), p).count() == len(texts)
+
+
 # 6
 
 PII = {
