@@ -163,7 +163,7 @@ add("latest_then_filter", lambda s, d: _out(versions.current(event_log(s, d)).wh
 add("tombstones_suppress", lambda s, d: _out(versions.current(event_log(s, d))), f"SELECT {_OUT} FROM {_LIVE}")
 add("merge_base_delta", lambda s, d: _out((lambda b, x: versions.merge(versions.current(b), x))(*split_log(s, d))), f"SELECT {_OUT} FROM {_LIVE}")
 add("compact", lambda s, d: _out((lambda b, x: versions.compact(versions.compact(b).unionByName(x)))(*split_log(s, d))), f"SELECT {_OUT} FROM {_LIVE}")
-add("get_by_key", lambda s, d: _out(versions.current(event_log(s, d).where("key = 6"))), f"SELECT {_OUT} FROM {_LIVE} AND user_id = 6")
+add("get_by_key", lambda s, d: _out(versions.current(event_log(s, d).where("key = 3"))), f"SELECT {_OUT} FROM {_LIVE} AND user_id = 3")
 
 # writes: embeddings as a first log; a second step changes every fifth record
 
