@@ -10,7 +10,8 @@
     A region of more than ``cap`` members is split by the next hash, down to ``depth``
     (adaptive depth); one that is still larger there holds near-identical signatures and
     is walked in overlapping blocks of the sorted order.
-3.  Within a block the signatures give similarity estimates for all members. Round 1
+3.  Within a block, sketches of one bit for each of ``bits`` further MinHashes give similarity
+    estimates for all members. Round 1
     takes the block's maximum spanning forest of the estimates (at most ``cap - 1``
     pairs a block, however dense it is), confirms each pair on the full sets and
     joins what is linked. Round 2 returns to the same blocks and takes every remaining
@@ -21,7 +22,8 @@
 Confirmation joins full sets by key; nothing is collected to the driver but counts, and nothing that grows with the corpus
 is broadcast.
 A pair of similarity 0.8 is missed with a probability of about 1e-4: it meets in no tree
-with ``(1 - 0.8 ** 2) ** trees``, and the estimate's margin is four standard deviations.
+with ``(1 - 0.8 ** 2) ** trees``, and the estimate's margin is four standard deviations
+(``2 * sqrt(0.9 * 0.1 / bits)`` each, as two unlike minima share a bit half the time).
 
 Defined results: null, empty and blank texts have the empty set, link with nothing
 and are kept; fewer than four words are one shingle of all; repeated rows of one
@@ -52,7 +54,8 @@ class ForestParams:
     trees: int = 12
     depth: int = 8
     cap: int = 256  #: members of a region before it is split by the next hash
-    margin: float = 0.16  #: a candidate's estimate may be that much below the limit
+    bits: int = 1024  #: of a sketch
+    margin: float = 0.075  #: a candidate's estimate may be that much below the limit
     seed: int = 11
 
 
@@ -84,10 +87,12 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _coefficients(p: ForestParams) -> tuple[np.ndarray, np.ndarray]:
+def _coefficients(p: ForestParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and addends: 64-bit ones of the signature, 32-bit ones of the sketch."""
     rng = np.random.default_rng(p.seed)
     k = p.trees * p.depth
-    return rng.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k).astype(np.uint64)
+    long = rng.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k).astype(np.uint64)
+    return *long, rng.integers(0, 2**31, p.bits).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, p.bits).astype(np.uint32)
 
 
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,9 +103,29 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.astype(np.uint32)
 
 
+def sketch(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A bit of each 32-bit MinHash, packed."""
+    best, short = np.full(len(a), 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(s), 128):
+        x = short[i : i + 128, None] * a
+        x += b
+        np.minimum(best, x.min(0), out=best)
+    best ^= best >> np.uint32(15)
+    return np.packbits((best * np.uint32(0x9E3779B1)) >> np.uint32(31) != 0)
+
+
+def agreement(packed: np.ndarray) -> np.ndarray:
+    """Similarity estimates of all pairs of sketches (rows of bytes)."""
+    words = packed.view(np.uint64)
+    differ = np.zeros((len(words), len(words)), np.uint16)
+    for k in range(words.shape[1]):
+        differ += np.bitwise_count(words[:, None, k] ^ words[None, :, k])
+    return 1 - differ / (4 * packed.shape[1])
+
+
 def signatures(docs: DataFrame, p: ForestParams) -> DataFrame:
     """doc_id, n_shingles, fp (the set's fingerprint) and sig; the last two null for the empty set."""
-    a, b = _coefficients(p)
+    a, b, *_ = _coefficients(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -119,7 +144,7 @@ def signatures(docs: DataFrame, p: ForestParams) -> DataFrame:
 
 
 def _entries(reps: DataFrame, p: ForestParams) -> DataFrame:
-    """A row for each tree and representative: the tree's key, and all hashes cut to a byte each."""
+    """A row for each tree and representative: the tree's key, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = 4 * p.depth
@@ -127,24 +152,21 @@ def _entries(reps: DataFrame, p: ForestParams) -> DataFrame:
             for s in range(0, batch.num_rows, 2000):
                 part = batch.slice(s, 2000)
                 n = part.num_rows
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(n, p.trees * wide)
-                small = np.ascontiguousarray(sig[:, 3::4])
-                keys, smalls = sig.tobytes(), [r.tobytes() for r in small]
-                row = p.trees * wide
+                sigs = part.column("sig").to_pylist()
                 for t in range(p.trees):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(n, t, np.int32)),
-                            pa.array([keys[i * row + t * wide : i * row + (t + 1) * wide] for i in range(n)], pa.binary()),
+                            pa.array([x[t * wide : (t + 1) * wide] for x in sigs], pa.binary()),
                             part.column("id"),
                             part.column("comp"),
                             part.column("n").cast(pa.int32()),
-                            pa.array(smalls, pa.binary()),
+                            part.column("sketch"),
                         ],
-                        names=["tree", "key", "id", "comp", "n", "small"],
+                        names=["tree", "key", "id", "comp", "n", "sketch"],
                     )
 
-    return reps.select("id", "comp", "n", "sig").mapInArrow(run, "tree int, key binary, id long, comp long, n int, small binary")
+    return reps.select("id", "comp", "n", "sig", "sketch").mapInArrow(run, "tree int, key binary, id long, comp long, n int, sketch binary")
 
 
 def _regions(keys: np.ndarray, lo: int, hi: int, level: int, p: ForestParams) -> Iterator[tuple[int, int]]:
@@ -175,12 +197,8 @@ def _pairs(p: ForestParams, forest: bool):
     """Candidates from sorted entries; a run of equal first hashes is held at a time, up to a bound."""
     least, hold = p.percent / 100 - p.margin, 40 * p.cap
 
-    def block(ids, comps, sizes, small) -> list[tuple[int, int]]:
-        m = len(ids)
-        same = np.zeros((m, m), np.uint16)
-        for k in range(0, small.shape[1], 16):
-            same += (small[:, None, k : k + 16] == small[None, :, k : k + 16]).sum(2, dtype=np.uint16)
-        estimate = (same / small.shape[1] - 1 / 256) / (1 - 1 / 256)
+    def block(ids, comps, sizes, sketches) -> list[tuple[int, int]]:
+        m, estimate = len(ids), agreement(sketches)
         few, many = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
         ok = np.triu((estimate >= least) & (100 * few >= p.percent * many) & (comps[:, None] != comps[None]), 1)
         x, y = np.nonzero(ok)
@@ -209,7 +227,7 @@ def _pairs(p: ForestParams, forest: bool):
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             n = batch.num_rows
             keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(n, p.depth)
-            small = np.frombuffer(b"".join(batch.column("small").to_pylist()), np.uint8).reshape(n, -1)
+            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
             ids, comps, sizes = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
             trees = batch.column("tree").to_numpy()
             sizes = sizes.astype(np.int64)
@@ -218,7 +236,7 @@ def _pairs(p: ForestParams, forest: bool):
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if e - s > 1:
                     for lo, hi in _regions(keys, s, e, 1, p):
-                        found += block(ids[lo:hi], comps[lo:hi], sizes[lo:hi], small[lo:hi])
+                        found += block(ids[lo:hi], comps[lo:hi], sizes[lo:hi], sketches[lo:hi])
             new = {(min(x), max(x)) for x in found} - seen
             if len(seen) < 500_000:
                 seen.update(new)
@@ -273,15 +291,17 @@ def alive(reps: DataFrame, p: ForestParams) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, p: ForestParams) -> DataFrame:
-    """id and set (little-endian sorted hashes) of the whole texts of ``ids``."""
+    """id, set (little-endian sorted hashes) and sketch of the whole texts of ``ids``."""
+    *_, a, b = _coefficients(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            kept = [shingles(t, p.words).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary())], names=["id", "set"])
+            sets = [shingles(t, p.words) for t in utf8(batch.column("text"))]
+            columns = [pa.array(x, pa.binary()) for x in ([s.tobytes() for s in sets], [sketch(s, a, b).tobytes() for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "set", "sketch"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    return materialise(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary"), "sets")
+    return materialise(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary, sketch binary"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
@@ -297,7 +317,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs, "pairs")
-    used = materialise(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id", "left_semi"), "used")
+    used = materialise(sets.select("id", "set").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id", "left_semi"), "used")
     out = (
         pairs.join(used.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
         .join(used.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
@@ -355,6 +375,8 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
     reps = materialise(reps, "reps")
     near = alive(reps, p)
     sets = full_sets(docs, near.select("id").distinct(), p)
+    bare, near = near, materialise(near.join(sets.select("id", "sketch").distinct().hint("merge"), "id"), "sketched")
+    discard(bare)
     comps = components(confirm(candidates(_numbered(near, None), p, True), sets, p))
     more = confirm(candidates(_numbered(near, comps), p, False), sets, p)
     if not more.isEmpty():
