@@ -1,13 +1,27 @@
 """LM scoring by cross-entropy difference.
 
-A target model (from ``target``'s texts) and a background model (from all documents) are word bigram models of the same form over one
-shared vocabulary of ``words`` hashed words and ``pairs`` hashed pairs, smoothed alike:
+A target model (from ``target``'s texts) and a background model (from all documents) are word n-gram models of the same form and
+smoothing over one shared vocabulary: the ``words - 2`` most frequent words of both together, one token for every other word and one for a
+text's boundary. A text is read as a ring that starts and ends at the boundary, so each token is predicted once and is a context once. A
+token's loss is the weighted mean of its losses in a bigram and a unigram model, each of which sums to 1 over the vocabulary:
 
-    P(b | a) = (count(ab) + m P(b)) / (count(a) + m),   P(b) = (count(b) + 1) / (total + words)
+    P2(b | a) = (count(ab) + m / V) / (count(a) + m),   P1(b) = (count(b) + 1) / (total + V)
 
-A document's score is the mean over its words of log P_target - log P_background: higher is more like the target. Counts cover every
-word of every document: each task adds up its own and sends what isn't zero to an aggregate. The tables have a fixed size
-(``words + pairs`` numbers a model), so both models may go to every task.
+A text's loss is then a sum over its words (of what depends on ``count(a)``) and over its pairs (of ``log(count(ab) + m / V)``). A
+document's score is its mean background loss less its mean target loss: higher is more like the target.
+
+All counts are exact and cover every word of every text. The vocabulary's counts are the only thing that goes to the driver and to every
+task (``words`` numbers a model). Pair counts grow with the corpus and stay distributed: ``words ** 2`` numbers are spread evenly over
+buckets of ``2 ** place_bits`` by a bijection, so no frequent word or pair makes a bucket large.
+
+1.  Each block of texts sends one row a bucket with its pairs' counts; a task adds a bucket's rows up in one array of fixed size.
+2.  Each block of documents sends one row a bucket with its (pair, document, count) entries. They meet the bucket's counts in one sorted
+    stream; what comes back is a sum for each document of the block. Where there are more shuffle partitions than buckets, a bucket's
+    documents are cut into as many parts and its counts go to each.
+3.  A block's sums, sorted by block, are added to its documents.
+
+Losses are added as integers (units of ``1 / UNIT``), so the result doesn't depend on partitions or on the order of rows. Blocks are
+numbered by partition and place: ``docs`` must be a table that is read, not the result of a shuffle (write it first).
 
 Defined results: null and word-less texts have no words and the score 0; rows that repeat count and are scored each; an empty target or
 corpus leaves smoothing only.
@@ -15,88 +29,323 @@ corpus leaves smoothing only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import extended, slices, utf8
+from .common import extended, materialise, slices, utf8
 from .op2_decontaminate import words_of
 
+UNIT = 1 << 20
+OTHER, BOUNDARY = 0, 1
+#: Of rows that meet in a bucket: counts of the models, then entries of documents.
+BACKGROUND, TARGET, ENTRIES = 0, 1, 2
+
 
 @dataclass(frozen=True)
 class LMParams:
-    words: int = 1 << 15
-    pairs: int = 1 << 20
-    smoothing: float = 8.0
+    words: int = 1 << 16  #: of the vocabulary; a power of two
+    place_bits: int = 22  #: pairs of a bucket: 2 ** place_bits, 24 at most
+    smoothing: float = 8.0  #: m
+    bigram: float = 0.5  #: weight of the bigram model's loss
+    block_bytes: int = 8 << 20
+
+    @property
+    def pair_bits(self) -> int:
+        return 2 * (self.words.bit_length() - 1)
+
+    @property
+    def buckets(self) -> int:
+        return max(1, 1 << (self.pair_bits - self.place_bits))
 
 
-class _Buckets(dict):
-    """Word hashes, kept up to a bound."""
+class _Cache(dict):
+    """Numbers of words, kept up to a bound."""
+
+    def __init__(self, number: Callable[[bytes], int]) -> None:
+        self.number = number
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = crc32(word)
-        return h
+        n = self[word] = self.number(word)
+        return n
 
 
-_buckets = _Buckets()
+def word_hash(word: bytes) -> int:
+    """64 bits, signed; 0 is the boundary's."""
+    h = xxhash.xxh64_intdigest(word)
+    return (h - (1 << 64) if h >> 63 else h) or 1
 
 
-def numbers(text: bytes | None, p: LMParams) -> tuple[np.ndarray, np.ndarray]:
-    """The words' numbers and the pairs' places in the count table; the first word follows word 0."""
-    words = words_of(text)
-    w = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words)) % p.words
-    before = np.concatenate([[0], w[:-1]]) if len(w) else w
-    return w, p.words + (before * 40_503 + w * 2_654_435_761) % p.pairs
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes of text and fewer than 2 ** 16 rows."""
+    for batch in slices(batches, "text", size):
+        for s in range(0, batch.num_rows, 60_000):
+            yield batch.slice(s, 60_000)
 
 
-def counts(texts: DataFrame, p: LMParams) -> np.ndarray:
-    """The words' counts, then the pairs'."""
+def rings(texts: list[bytes | None], numbers: _Cache, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts, each text led by its boundary, and each text's number of tokens (0 without words)."""
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if words := words_of(text):
+            sizes[i] = len(words) + 1
+            parts += [np.array([boundary]), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), sizes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(p.words + p.pairs, np.int64)
-        for batch in slices(batches, "text", 4 << 20):
-            got = [numbers(t, p) for t in utf8(batch.column("text"))]
-            table += np.bincount(np.concatenate([x for pair in got for x in pair]).astype(np.int64), minlength=len(table))
-        used = np.flatnonzero(table)
-        for s in range(0, len(used), 100_000):
-            part = used[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part])], names=["place", "n"])
-
-    sums = texts.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most words + pairs rows
-    out = np.zeros(p.words + p.pairs, np.int64)
-    out[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+
+@dataclass(frozen=True)
+class Vocabulary:
+    hashes: np.ndarray  #: of the words from number 2 on
+    background: np.ndarray  #: counts by number
+    target: np.ndarray
+
+    @staticmethod
+    def of(docs: DataFrame, target: DataFrame, p: LMParams) -> Vocabulary:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = _Cache(word_hash)
+            for batch in blocks(batches, p.block_bytes):
+                found, n = np.unique(rings(utf8(batch.column("text")), numbers, 0)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["word", "n"])
+
+        def counted(texts: DataFrame) -> DataFrame:
+            return texts.select("text").mapInArrow(run, "word long, n long")
+
+        both = counted(docs).select("word", F.col("n").alias("b"), F.lit(0).cast("long").alias("t")).union(counted(target).select("word", F.lit(0).cast("long"), "n"))
+        counts = materialise(both.groupBy("word").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "words")
+        total = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("b"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("t"))), F.lit(0))).first()
+        top = counts.where("word <> 0").orderBy((F.col("b") + F.col("t")).desc(), "word").limit(p.words - 2).toPandas()  # at most ``words`` rows
+        b, t = np.zeros(len(top) + 2, np.int64), np.zeros(len(top) + 2, np.int64)
+        b[2:], t[2:] = top["b"], top["t"]
+        b[BOUNDARY], t[BOUNDARY] = total[2], total[3]
+        b[OTHER], t[OTHER] = total[0] - b.sum(), total[1] - t.sum()
+        return Vocabulary(top["word"].to_numpy(np.int64), b, t)
+
+    def numbers(self) -> _Cache:
+        known = {h: i + 2 for i, h in enumerate(self.hashes.tolist())}
+        return _Cache(lambda word: known.get(word_hash(word), OTHER))
+
+    def word_losses(self, p: LMParams) -> tuple[np.ndarray, np.ndarray]:
+        """For each model the part of the loss that depends on one word, in units."""
+        parts = []
+        for c in (self.background, self.target):
+            single = -np.log((c + 1) / (c.sum() + len(c)))
+            parts.append(np.rint(UNIT * ((1 - p.bigram) * single + p.bigram * np.log(c + p.smoothing))).astype(np.int64))
+        return parts[0], parts[1]
+
+    def pair_losses(self, counts: np.ndarray, p: LMParams) -> np.ndarray:
+        return np.rint(-UNIT * p.bigram * np.log(counts + p.smoothing / len(self.background))).astype(np.int64)
+
+
+def pair_keys(tokens: np.ndarray, p: LMParams) -> np.ndarray:
+    """Each token with the one after it, as a number below 2 ** pair_bits, spread by a bijection."""
+    after = np.append(tokens[1:], BOUNDARY)  # each ring starts at the boundary, where the one before it ends
+    return ((tokens * p.words + after).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << p.pair_bits) - 1)
+
+
+def _cut(keys: np.ndarray, shift: int, p: LMParams) -> Iterator[tuple[int, slice]]:
+    """The buckets in sorted ``keys``, whose places end ``shift`` bits above the lowest one."""
+    edges = np.searchsorted(keys >> np.uint64(shift + p.place_bits), np.arange(p.buckets + 1, dtype=np.uint64))
+    for bucket in np.flatnonzero(np.diff(edges)).tolist():
+        yield bucket, slice(int(edges[bucket]), int(edges[bucket + 1]))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    kinds = [np.dtype(k) for k in kinds]
+    n, at, out = len(blob) // sum(k.itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(blob, k, n, at))
+        at += n * k.itemsize
     return out
 
 
-def losses(table: np.ndarray, w: np.ndarray, pairs: np.ndarray, p: LMParams) -> np.ndarray:
-    """Of each word: minus the logarithm of its probability."""
-    if not len(w):
-        return np.zeros(0)
-    single = (table[w] + 1) / (table[: p.words].sum() + p.words)
-    context = np.concatenate([[table[pairs[0]]], table[w[:-1]]])  # the first word's is its own pair's count: word 0 isn't counted as read
-    return -np.log((np.minimum(table[pairs], context) + p.smoothing * single) / (context + p.smoothing))
+def _places(keys: np.ndarray, p: LMParams) -> tuple[np.ndarray, np.ndarray]:
+    place = keys & np.uint64((1 << p.place_bits) - 1)
+    return place.astype("<u2"), (place >> np.uint64(16)).astype("u1")
 
 
-def score(docs: DataFrame, target: DataFrame, p: LMParams = LMParams()) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss (means) and score of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts(target, p), counts(docs, p)))
+def pair_counts(texts: DataFrame, model: int, shared, p: LMParams) -> DataFrame:
+    """bucket, kind (the model) and blob (places and their counts; several rows for a large bucket)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value.numbers()
+        for batch in blocks(batches, p.block_bytes):
+            keys, n = np.unique(pair_keys(rings(utf8(batch.column("text")), numbers, BOUNDARY)[0], p), return_counts=True)
+            low, high = _places(keys, p)
+            rows = [(bucket, _pack(low[s], high[s], n[s].astype("<u4"))) for bucket, s in _cut(keys, 0, p)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["bucket", "blob"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, now = np.zeros(1 << p.place_bits, np.int64), None
+        touched, few = [], len(sums) // 8  # the places so far, as long as they are few
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not touched:
+                return
+            used = np.unique(np.concatenate(touched)) if sum(map(len, touched)) < few else np.flatnonzero(sums)
+            for s in range(0, len(used), 100_000):
+                part = used[s : s + 100_000]
+                blob = _pack(*_places(part.astype(np.uint64), p), sums[part].astype("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([model], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+            sums[used] = 0
+            touched.clear()
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if bucket != now:
+                    yield from done()
+                    now = bucket
+                low, high, n = _unpack(blob, "<u2", "u1", "<u4")
+                place = low + (high.astype(np.int64) << 16)
+                sums[place] += n
+                if not touched or len(touched[0]) < few:
+                    touched.append(place)
+                    if len(touched) > 100:
+                        touched[:] = [np.unique(np.concatenate(touched))]
+        yield from done()
+
+    sent = texts.select("text").mapInArrow(send, "bucket int, blob binary")
+    return sent.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(add, "bucket int, kind int, blob binary")
+
+
+def _around(docs: DataFrame, before: str) -> StructType:
+    """The columns ``before``, the documents' ids as they are, and what a row carries."""
+    return StructType([*StructType.fromDDL(before), *docs.select("doc_id").schema, *StructType.fromDDL("tokens long, b long, t long, blob binary")])
+
+
+def _entries(docs: DataFrame, shared, parts: int, p: LMParams) -> DataFrame:
+    """Rows of kind ENTRIES: a block's entries in a bucket (idx null), and a row for each document with its words' losses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in slices(batches, "text", 2 << 20):
-            rows = []
-            for text in utf8(batch.column("text")):
-                w, pairs = numbers(text, p)
-                means = [float(losses(m, w, pairs, p).mean()) if len(w) else 0.0 for m in models]
-                rows.append((len(w), *means, means[1] - means[0]))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, extended(docs.select("doc_id").schema, "n_words long, target_loss double, background_loss double, score double"))
+        numbers, (word_b, word_t) = shared.value.numbers(), shared.value.word_losses(p)
+        block = TaskContext.get().partitionId() << 32
+        names = ["bucket", "part", "kind", "block", "idx", "doc_id", "tokens", "b", "t", "blob"]
+        for batch in blocks(batches, p.block_bytes):
+            m, part = batch.num_rows, block % parts
+            tokens, sizes = rings(utf8(batch.column("text")), numbers, BOUNDARY)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[tokens])])[ends]) for x in (word_b, word_t)]
+            where = block % p.buckets
+            fixed = [np.full(m, where, np.int32), np.full(m, part, np.int32), np.full(m, ENTRIES, np.int32), np.full(m, block), np.arange(m, dtype=np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), batch.column("doc_id"), *map(pa.array, (sizes, *sums)), pa.nulls(m, pa.binary())], names=names)
+            keys, n = np.unique((pair_keys(tokens, p) << np.uint64(16)) | np.repeat(np.arange(m, dtype=np.uint64), sizes), return_counts=True)
+            times = -(-n // 255)
+            last = np.cumsum(times) - 1
+            keys, counts = np.repeat(keys, times), np.full(int(times.sum()), 255, np.int64)  # an entry counts to 255
+            counts[last] = n - 255 * (times - 1)
+            low, high = _places(keys >> np.uint64(16), p)
+            doc, counts = keys.astype("<u2"), counts.astype("u1")
+            rows = [(bucket, _pack(low[s], high[s], doc[s], counts[s])) for bucket, s in _cut(keys, 16, p)]
+            k = len(rows)
+            fixed = [np.array([x[0] for x in rows], np.int32), np.full(k, part, np.int32), np.full(k, ENTRIES, np.int32), np.full(k, block)]
+            empty = [pa.nulls(k, c) for c in (pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), *empty, pa.array([x[1] for x in rows], pa.binary())], names=names)
+            block += 1
+
+    return docs.select("doc_id", "text").mapInArrow(run, _around(docs, "bucket int, part int, kind int, block long, idx int"))
+
+
+def _look_up(shared, p: LMParams, bound: int = 64 << 20):
+    """Rows of the documents as they are; for each block a row with the sums of its documents' pairs (a bucket's, or several buckets' as
+    long as the sums of all blocks at hand take less than ``bound``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, used, now = [np.zeros(1 << p.place_bits, np.int64) for _ in range(2)], [], None
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held, kind_of_id = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, blobs = [], []
+            for block, (b, t) in sums.items():
+                used = np.flatnonzero((b != 0) | (t != 0))
+                ids.append(block)
+                blobs.append(_pack(used.astype("<u2"), b[used], t[used]))
+            k = len(ids)
+            empty = [pa.nulls(k, c) for c in (pa.int32(), kind_of_id, pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.array(blobs, pa.binary())], names=["block", "idx", "doc_id", "tokens", "b", "t", "blob"])
+            sums.clear()
+
+        for batch in batches:
+            kind_of_id = batch.schema.field("doc_id").type
+            texts = batch.filter(batch.column("idx").is_valid())
+            if texts.num_rows:
+                yield texts.select(["block", "idx", "doc_id", "tokens", "b", "t", "blob"])
+            rest = batch.filter(batch.column("idx").is_null())
+            for bucket, part, kind, block, blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", "part", "kind", "block", "blob")), strict=True):
+                if (bucket, part) != now:
+                    for model, place in used:
+                        counts[model][place] = 0
+                    now, used = (bucket, part), []
+                if kind != ENTRIES:
+                    low, high, n = _unpack(blob, "<u2", "u1", "<i8")
+                    place = low + (high.astype(np.int64) << 16)
+                    counts[kind][place] = n
+                    used.append((kind, place))
+                    continue
+                low, high, doc, n = _unpack(blob, "<u2", "u1", "<u2", "u1")
+                place, n = low + (high.astype(np.int64) << 16), n.astype(np.int64)
+                size = int(doc.max()) + 1
+                b, t = sums.get(block, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                if len(b) < size:
+                    held += 16 * (size - len(b))
+                    b, t = (np.concatenate([x, np.zeros(size - len(x), np.int64)]) for x in (b, t))
+                np.add.at(b, doc, n * shared.value.pair_losses(counts[BACKGROUND][place], p))
+                np.add.at(t, doc, n * shared.value.pair_losses(counts[TARGET][place], p))
+                sums[block] = b, t
+                if held > bound:
+                    yield from flush()
+                    held = 0
+        if sums:
+            yield from flush()
+
+    return run
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and idx, so a block's sums come before its documents."""
+    now, b, t = None, None, None
+    for batch in batches:
+        idx, ids = batch.column("idx"), batch.column("block").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if s == e:
+                continue
+            if ids[s] != now:
+                now, b, t = ids[s], np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+            part = batch.slice(s, e - s)
+            for blob in part.column("blob").drop_null().to_pylist():
+                doc, more_b, more_t = _unpack(blob, "<u2", "<i8", "<i8")
+                b[doc] += more_b
+                t[doc] += more_t
+            part = part.filter(idx.slice(s, e - s).is_valid())
+            at, tokens, own_b, own_t = (part.column(c).to_numpy() for c in ("idx", "tokens", "b", "t"))
+            size = np.maximum(tokens, 1) * UNIT
+            background, target = (own_b + b[at]) / size, (own_t + t[at]) / size
+            columns = [np.maximum(tokens - 1, 0), target, background, background - target]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+
+def score(docs: DataFrame, target: DataFrame, p: LMParams = LMParams()) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss (means over the words and the boundary) and score of each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Vocabulary.of(docs, target, p))
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // p.buckets)
+    counts = pair_counts(docs, BACKGROUND, shared, p).union(pair_counts(target, TARGET, shared, p))
+    counts = counts.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
+    rows = _entries(docs, shared, parts, p).unionByName(counts, allowMissingColumns=True)
+    sorted_ = rows.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part", "kind")
+    sums = sorted_.mapInArrow(_look_up(shared, p), _around(docs, "block long, idx int"))
+    by_block = sums.repartition(F.col("block")).sortWithinPartitions("block", F.col("idx").asc_nulls_first())
+    return by_block.mapInArrow(_finish, extended(docs.select("doc_id").schema, "n_words long, target_loss double, background_loss double, score double"))

@@ -1,5 +1,6 @@
 """The operators against plain Python on small tables with awkward rows."""
 
+import collections
 import functools
 import gzip
 import hashlib
@@ -244,24 +245,33 @@ def test_packing(spark, docs, tokenizer):
 
 
 def test_cross_entropy_difference(spark, docs):
-    p = op5_lm.LMParams(words=1 << 10, pairs=1 << 12)
     target = spark.createDataFrame([(awkward()[11][1],), (None,), ("",)], "text string")
     texts = [t or "" for _, t, _ in awkward()]
-    tables = []
-    for group in ([awkward()[11][1]], texts):
-        table = np.zeros(p.words + p.pairs, np.int64)
-        for t in group:
-            w, pairs = op5_lm.numbers(t.encode(), p)
-            for k in [*w, *pairs]:
-                table[k] += 1
-        tables.append(table)
-    assert (op5_lm.counts(docs, p) == tables[1]).all() and (op5_lm.counts(target, p) == tables[0]).all()
-    got = op5_lm.score(docs, target, p).collect()
-    assert len(got) == len(texts) and all(math.isfinite(r.score) for r in got)
-    best = max(got, key=lambda r: r.score)
+    for p in (op5_lm.LMParams(), op5_lm.LMParams(words=1 << 7, place_bits=5, block_bytes=2_000)):  # whole vocabulary; most words are others
+        words = [op5_lm.words_of(t.encode()) for t in texts]
+        aims = [op5_lm.words_of(awkward()[11][1].encode())]
+        every = collections.Counter(w for x in words + aims for w in x)
+        known = set(sorted(every, key=lambda w: (-every[w], op5_lm.word_hash(w)))[: p.words - 2])
+        size = len(known) + 2
+        ring = lambda x: [None, *(w if w in known else b"" for w in x)] if x else []
+        pairs = lambda r: list(zip(r, r[1:] + r[:1], strict=True))
+        models = [(collections.Counter(w for x in group for w in ring(x)), collections.Counter(q for x in group for q in pairs(ring(x)))) for group in (aims, words)]
+
+        def loss(x, model):
+            single, double = model
+            total = sum(single.values())
+            each = [-math.log((single[b] + 1) / (total + size)) - math.log((double[a, b] + p.smoothing / size) / (single[a] + p.smoothing)) for a, b in pairs(ring(x))]
+            return sum(each) / 2 / max(len(each), 1)
+
+        got = sorted(op5_lm.score(docs, target, p).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words, r.score))
+        wanted = [(i, len(x), loss(x, models[0]), loss(x, models[1])) for (i, _, _), x in zip(awkward(), words, strict=True)]
+        wanted.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[3] - r[2]))
+        assert [(r.doc_id, r.n_words) for r in got] == [w[:2] for w in wanted]
+        assert all(abs(r.target_loss - w[2]) < 1e-5 and abs(r.background_loss - w[3]) < 1e-5 and abs(r.score - w[3] + w[2]) < 1e-5 for r, w in zip(got, wanted, strict=True))
+        assert all((r.n_words, r.score) == (0, 0) for r in got if r.doc_id in (3, 4, 5))
+    best = max((r for r in op5_lm.score(docs, target).collect() if r.n_words > 20), key=lambda r: r.score)
     assert best.n_words == len(awkward()[11][1].split()) and best.score > 0
-    assert all((r.n_words, r.score) == (0, 0) for r in got if r.doc_id in (3, 4, 5))
-    assert op5_lm.score(empty(spark), target, p).count() == 0 and op5_lm.score(docs, target.limit(0), p).count() == len(texts)
+    assert op5_lm.score(empty(spark), target).count() == 0 and op5_lm.score(docs, target.limit(0)).count() == len(texts)
 
 
 # 6
