@@ -230,14 +230,15 @@ def _entries(docs: DataFrame, shared, parts: int, p: LMParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, (word_b, word_t) = shared.value.numbers(), shared.value.word_losses(p)
-        block = TaskContext.get().partitionId() << 32
+        partition = TaskContext.get().partitionId()
+        block, turn = partition << 32, partition
         names = ["bucket", "part", "kind", "block", "idx", "doc_id", "tokens", "b", "t", "blob"]
         for batch in blocks(batches, p.block_bytes):
-            m, part = batch.num_rows, block % parts
+            m, part = batch.num_rows, turn % parts
             tokens, sizes = rings(utf8(batch.column("text")), numbers, BOUNDARY)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[tokens])])[ends]) for x in (word_b, word_t)]
-            where = block % p.buckets
+            where = turn // parts % p.buckets
             fixed = [np.full(m, where, np.int32), np.full(m, part, np.int32), np.full(m, ENTRIES, np.int32), np.full(m, block), np.arange(m, dtype=np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), batch.column("doc_id"), *map(pa.array, (sizes, *sums)), pa.nulls(m, pa.binary())], names=names)
             keys, n = np.unique((pair_keys(tokens, p) << np.uint64(16)) | np.repeat(np.arange(m, dtype=np.uint64), sizes), return_counts=True)
@@ -252,7 +253,7 @@ def _entries(docs: DataFrame, shared, parts: int, p: LMParams) -> DataFrame:
             fixed = [np.array([x[0] for x in rows], np.int32), np.full(k, part, np.int32), np.full(k, ENTRIES, np.int32), np.full(k, block)]
             empty = [pa.nulls(k, c) for c in (pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), *empty, pa.array([x[1] for x in rows], pa.binary())], names=names)
-            block += 1
+            block, turn = block + 1, turn + 1
 
     return docs.select("doc_id", "text").mapInArrow(run, _around(docs, "bucket int, part int, kind int, block long, idx int"))
 
