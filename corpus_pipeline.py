@@ -15,11 +15,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_quality.score_documents(docs, model).where("predicted = 1").select(docs.columns)
 
 
+#: Removed ids that may be broadcast (8 bytes each, 32 MB), by their count; more are met by a merge join, which moves the texts.
+BROADCAST_IDS = 4_000_000
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; of rows that repeat a kept doc_id, one."""
     found = materialise(op3_neardup.near_duplicates(docs), "near-duplicates")
     gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    how = "broadcast" if found.where("not kept").count() <= BROADCAST_IDS else "merge"
+    kept = docs.join(gone.hint(how), "doc_id", "left_anti")
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
         kept = kept.join(again, "doc_id", "left_anti").union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
