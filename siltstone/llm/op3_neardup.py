@@ -14,14 +14,16 @@
     estimates for all members. Round 1
     takes the block's maximum spanning forest of the estimates (at most ``cap - 1``
     pairs a block, however dense it is), confirms each pair on the full sets and
-    joins what is linked. Round 2 returns to the same blocks and takes every remaining
-    candidate pair between different components, so that nothing that round 1 left
-    open is lost.
+    joins what is linked. The blocks part members that agree on two hashes only, so rounds 2 and 3 don't
+    use them: there all that share a tree's two leading hashes meet, each pair of them. More than
+    ``cell`` such members are dealt into groups, and each pair of groups is a cell of its own, for any task. Round 2
+    takes a spanning forest of the components a cell sees, round 3 every candidate pair that is still between different
+    components.
 4.  Components by alternating minimum stars over the confirmed links.
 
 Confirmation joins full sets by key; nothing is collected to the driver but counts, and nothing that grows with the corpus
 is broadcast.
-A pair of similarity 0.8 is missed with a probability of about 1e-4: it meets in no tree
+A pair of similarity 0.8 is missed with a probability of about 1e-4, in a group of any size: it meets in no tree
 with ``(1 - 0.8 ** 2) ** trees``, and the estimate's margin is four standard deviations
 (``2 * sqrt(0.9 * 0.1 / bits)`` each, as two unlike minima share a bit half the time).
 
@@ -54,6 +56,7 @@ class ForestParams:
     trees: int = 12
     depth: int = 8
     cap: int = 256  #: members of a region before it is split by the next hash
+    cell: int = 1024  #: members that share two leading hashes before they are dealt into groups of about as many
     bits: int = 1024  #: of a sketch
     margin: float = 0.075  #: a candidate's estimate may be that much below the limit
     seed: int = 11
@@ -193,8 +196,8 @@ def _regions(keys: np.ndarray, lo: int, hi: int, level: int, p: ForestParams) ->
         return
 
 
-def _pairs(p: ForestParams, forest: bool):
-    """Candidates from sorted entries; a run of equal first hashes is held at a time, up to a bound."""
+def _pairs(p: ForestParams):
+    """Round 1's candidates from sorted entries; a run of equal first hashes is held at a time, up to a bound."""
     least, hold = p.percent / 100 - p.margin, 40 * p.cap
 
     def block(ids, comps, sizes, sketches) -> list[tuple[int, int]]:
@@ -202,8 +205,6 @@ def _pairs(p: ForestParams, forest: bool):
         few, many = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
         ok = np.triu((estimate >= least) & (100 * few >= p.percent * many) & (comps[:, None] != comps[None]), 1)
         x, y = np.nonzero(ok)
-        if not forest or not len(x):
-            return list(zip(ids[x].tolist(), ids[y].tolist(), strict=True))
         order = np.lexsort((ids[y], ids[x], -estimate[x, y]))
         root, out = list(range(m)), []
         for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
@@ -265,28 +266,142 @@ def _pairs(p: ForestParams, forest: bool):
     return run
 
 
-def candidates(reps: DataFrame, p: ForestParams, forest: bool) -> DataFrame:
+def candidates(reps: DataFrame, p: ForestParams) -> DataFrame:
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = _entries(reps, p).repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return sorted_.mapInArrow(_pairs(p, forest), "a long, b long").distinct()
+    return sorted_.mapInArrow(_pairs(p), "a long, b long").distinct()
+
+
+def _prefixes(sigs: pa.Array, p: ForestParams) -> np.ndarray:
+    """For each signature and tree a number of the tree and its two leading hashes."""
+    sig = np.frombuffer(b"".join(sigs.to_pylist()), ">u4").reshape(len(sigs), p.trees, p.depth)[:, :, :2].astype(np.uint64)
+    prefix = ((sig[:, :, 0] << np.uint64(32)) + sig[:, :, 1]) * MIX[1] + np.arange(p.trees, dtype=np.uint64)[None] * MIX[2]
+    return prefix.view(np.int64)
+
+
+def _cells(reps: DataFrame, p: ForestParams) -> DataFrame:
+    """A row for each tree and representative, with its prefix's cell; one for each cell of its group where a prefix is dealt into groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                prefix, groups = _prefixes(part.column("sig"), p), np.ones((part.num_rows, p.trees), np.int64)
+                for k, dealt in enumerate(part.column("dealt").to_pylist()):
+                    for d in dealt or ():
+                        groups[k, prefix[k] == d["prefix"]] = d["groups"]
+                spread = (part.column("id").to_numpy().astype(np.uint64) * MIX[3] >> np.uint64(33)).astype(np.int64)
+                for t in range(p.trees):
+                    g = groups[:, t]
+                    row = np.repeat(np.arange(len(g)), g)
+                    own, other = (spread % g)[row], np.arange(len(row)) - np.repeat(np.cumsum(g) - g, g)
+                    cell = [np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32), (own > other).astype(np.int32)]
+                    rest = part.select(["id", "comp", "n", "sketch"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix[row, t]), *map(pa.array, cell), rest.column("id"), rest.column("comp"), rest.column("n").cast(pa.int32()), rest.column("sketch")], names=["prefix", "i", "j", "side", "id", "comp", "n", "sketch"])
+
+    return reps.select("id", "comp", "n", "sig", "sketch", "dealt").mapInArrow(run, "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary")
+
+
+def _met(p: ForestParams, forest: bool):
+    """Candidates between different components from rows sorted by cell, which is held whole; of a forest only the pairs that join components."""
+    least = p.percent / 100 - p.margin
+
+    def found(square: bool, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if square:
+            right = left
+        left = left[np.argsort(comps[left], kind="stable")]
+        xs, ys, es = [], [], []
+        for s in range(0, len(left), 256):
+            x, y = left[s : s + 256], right
+            if comps[x[0]] == comps[x[-1]]:
+                y = y[comps[y] != comps[x[0]]]
+            if not len(y):
+                continue
+            differ = np.zeros((len(x), len(y)), np.uint16)
+            for k in range(words.shape[1]):
+                differ += np.bitwise_count(words[x, None, k] ^ words[None, y, k])
+            estimate = 1 - differ / (32 * words.shape[1])
+            few, many = np.minimum(sizes[x, None], sizes[None, y]), np.maximum(sizes[x, None], sizes[None, y])
+            ok = (estimate >= least) & (100 * few >= p.percent * many) & (comps[x, None] != comps[None, y])
+            if square:
+                ok &= x[:, None] < y[None]
+            u, v = np.nonzero(ok)
+            xs.append(x[u])
+            ys.append(y[v])
+            es.append(estimate[u, v])
+        if not xs:
+            return ids[:0], ids[:0]
+        x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+        if forest:
+            order, keep, root = np.lexsort((ids[y], ids[x], -e)), [], {}
+
+            def top(c: int) -> int:
+                while root.setdefault(c, c) != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for k, a, b in zip(order.tolist(), comps[x[order]].tolist(), comps[y[order]].tolist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    root[a] = b
+                    keep.append(k)
+            x, y = x[keep], y[keep]
+        return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(whole: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j, side, ids, comps, sizes = (whole.column(c).to_numpy() for c in ("i", "j", "side", "id", "comp", "n"))
+            words = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint64).reshape(whole.num_rows, -1)
+            sizes, out, held = sizes.astype(np.int64), [], 0
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if e - s > 1 and (comps[s:e] != comps[s]).any():
+                    out.append(found(i[s] == j[s], side[s:e], ids[s:e], comps[s:e], sizes[s:e], words[s:e]))
+                    held += len(out[-1][0])
+                if held > 100_000 or e == cuts[-1] and held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                    out, held = [], 0
+
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            whole = pa.Table.from_batches([*rest, batch])
+            place = [whole.column(c).to_numpy() for c in ("prefix", "i", "j")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in place], 0)) + 1])
+            if cuts[-1]:
+                yield from work(whole.slice(0, int(cuts[-1])), cuts)
+            rest = whole.slice(int(cuts[-1])).to_batches()
+        if rest:
+            whole = pa.Table.from_batches(rest)
+            yield from work(whole, np.array([0, whole.num_rows]))
+
+    return run
+
+
+def met(reps: DataFrame, p: ForestParams, forest: bool) -> DataFrame:
+    """Candidates of all that share a tree's two leading hashes, however many."""
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = _cells(reps, p).repartition(n, "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
+    return sorted_.mapInArrow(_met(p, forest), "a long, b long").distinct()
 
 
 def alive(reps: DataFrame, p: ForestParams) -> DataFrame:
-    """Representatives that share two leading hashes with another in some tree."""
+    """Representatives that share two leading hashes with another in some tree; dealt: those of their prefixes that are cut into groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(n, p.trees, p.depth)[:, :, :2].astype(np.uint64)
-            prefix = ((sig[:, :, 0] << np.uint64(32)) + sig[:, :, 1]) * MIX[1] + np.arange(p.trees, dtype=np.uint64)[None] * MIX[2]
+            prefix = _prefixes(batch.column("sig"), p)
             for t in range(p.trees):
-                yield pa.RecordBatch.from_arrays([pa.array(prefix[:, t].view(np.int64)), batch.column("id")], names=["prefix", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(prefix[:, t]), batch.column("id")], names=["prefix", "id"])
 
     prefixes = materialise(reps.select("id", "sig").mapInArrow(run, "prefix long, id long"), "prefixes")
-    shared = materialise(prefixes.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1").select("prefix"), "shared")
-    ids = materialise(prefixes.join(shared.hint("merge"), "prefix", "left_semi").select("id").distinct(), "alive-ids")
-    out = materialise(reps.join(ids.hint("merge"), "id", "left_semi"), "alive")
-    discard(prefixes, shared, ids)
+    shared = materialise(prefixes.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    ids = materialise(prefixes.join(shared.select("prefix").hint("merge"), "prefix", "left_semi").select("id").distinct(), "alive-ids")
+    large = shared.where(F.col("c") > p.cell).select("prefix", F.ceil(F.col("c") / p.cell).cast("int").alias("groups"))
+    dealt = materialise(prefixes.join(large.hint("merge"), "prefix").select("id", F.struct("prefix", "groups").alias("d")).distinct(), "dealt")
+    by_id = dealt.groupBy("id").agg(F.collect_list("d").alias("dealt"))
+    out = materialise(reps.join(ids.hint("merge"), "id", "left_semi").join(by_id.hint("merge"), "id", "left"), "alive")
+    discard(prefixes, shared, ids, dealt)
     return out
 
 
@@ -377,10 +492,11 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
     sets = full_sets(docs, near.select("id").distinct(), p)
     bare, near = near, materialise(near.join(sets.select("id", "sketch").distinct().hint("merge"), "id"), "sketched")
     discard(bare)
-    comps = components(confirm(candidates(_numbered(near, None), p, True), sets, p))
-    more = confirm(candidates(_numbered(near, comps), p, False), sets, p)
-    if not more.isEmpty():
-        comps = components(more.union(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    comps = components(confirm(candidates(_numbered(near, None), p), sets, p))
+    for forest in (True, False):
+        more = confirm(met(_numbered(near, comps), p, forest), sets, p)
+        if not more.isEmpty():
+            comps = components(more.union(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
     classes = materialise(_numbered(reps.select("fp", "id"), comps).select("fp", "comp"), "classes")
     discard(near, sets, reps)
     light = every.select("doc_id", "n_shingles", "fp")

@@ -167,6 +167,28 @@ def test_near_duplicates(spark, docs):
     assert op3_neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def star(n, words, changes, rng):
+    """An original and ``n`` variants of it, which are like the original but not like each other."""
+    base = [f"w{rng.getrandbits(40)}" for _ in range(words)]
+    out = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        variant = list(base)
+        for at in rng.sample(range(0, words - 4, 4), changes):
+            variant[at + 1] = f"v{rng.getrandbits(40)}"
+        out.append((i, " ".join(variant)))
+    return out
+
+
+@pytest.mark.parametrize("n,p", [(1000, op3_neardup.ForestParams(cell=100)), (3000, op3_neardup.ForestParams())])
+def test_star_of_variants_is_one_component(spark, n, p):
+    rows = star(n, 200, 5, random.Random(7))
+    sets = [set(op3_neardup.shingles(t.encode(), 4).tolist()) for _, t in rows]
+    linked = {i for i in range(1, n + 1) if 100 * len(sets[0] & sets[i]) >= 80 * len(sets[0] | sets[i])}
+    assert len(linked) == n and sum(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(1, 300)) < 10
+    got = op3_neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), p).collect()
+    assert sum(r.component_id != 0 for r in got) == 0
+
+
 # 4
 
 
