@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import distance
 
@@ -86,11 +86,30 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
 
 
 def knn_join_sql(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", vector_type: str = "f32") -> DataFrame:
-    """The same with Column functions only, for a handful of queries: their block is one array of at most ``BLOCK_BYTES``."""
-    asked = queries.where("vector is not null").select(F.col("key").alias("query_key"), F.col("vector").alias("query_vector")).limit(1024)
-    one = asked.agg(F.collect_list(F.struct("query_key", "query_vector")).alias("asked"))
-    pairs = base.where("vector is not null").join(F.broadcast(one)).select("key", "vector", F.explode("asked").alias("q"))
-    scored = pairs.select("q.query_key", "key", distance.distance(F.col("vector"), F.col("q.query_vector"), metric, vector_type).cast("double").alias("distance"))
+    """The same with Column functions only, for few queries: a block of them is one array of at most about ``BLOCK_BYTES``, and each block reads the base."""
+    spark = base.sparkSession
+    asked = queries.where("vector is not null").select(F.col("key").alias("query_key"), F.col("vector").alias("query_vector"))
+    kind = StructType([StructField("asked", ArrayType(asked.schema))])
+    scored = None
+    for block in _rows(asked):
+        pairs = base.where("vector is not null").join(F.broadcast(spark.createDataFrame([(block,)], kind))).select("key", "vector", F.explode("asked").alias("q"))
+        part = pairs.select("q.query_key", "key", distance.distance(F.col("vector"), F.col("q.query_vector"), metric, vector_type).cast("double").alias("distance"))
+        scored = part if scored is None else scored.union(part)
+    if scored is None:
+        scored = spark.createDataFrame([], StructType([asked.schema["query_key"], base.schema["key"], StructField("distance", DoubleType())]))
     rank = Window.partitionBy("query_key").orderBy("distance", "key")
     out = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return out.select("query_key", "rank", "key", "distance", distance.score_of(F.col("distance"), metric).alias("vector_score"))
+
+
+def _rows(asked: DataFrame) -> Iterator[list]:
+    """Blocks of queries, streamed from the cluster."""
+    block, held = [], 0
+    for row in asked.toLocalIterator():
+        block.append(row)
+        held += 8 * len(row.query_vector)
+        if held >= BLOCK_BYTES or len(block) == 1024:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block

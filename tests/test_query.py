@@ -100,6 +100,15 @@ def test_knn_both_ways_and_recall(spark):
     assert batch.knn_join(base.where("key < 0"), base, 4).count() == 0
 
 
+def test_batch_search_by_columns_answers_every_query(spark):
+    df, _, _ = records(spark, 1300, 2)
+    base = df.select("key", "vector")
+    one = {(r.query_key, r.rank): (r.key, r.distance) for r in batch.knn_join(base, base, 2).collect()}
+    two = {(r.query_key, r.rank): (r.key, r.distance) for r in batch.knn_join_sql(base, base, 2).collect()}
+    assert len(two) == 2 * sum(1 for k in range(1300) if k % 7) and one == two
+    assert batch.knn_join_sql(base.where("key < 0"), base, 2).count() == 0
+
+
 def test_latency_percentiles(spark):
     values = [float(x) for x in (5, 1, 4, 2, 3, 9, 8, 7, 6, 10, 10, None)[:-1]]
     r = metrics.latency_percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
