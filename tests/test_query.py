@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import catalogue
 from siltstone.errors import InvalidArgument, InvalidQuery, UnsupportedQueryOp
 from siltstone.functions import distance
 from siltstone.operators import ann, batch, metrics, versions
@@ -128,6 +129,18 @@ def test_cells_find_most(spark):
     assert index.search(assigned, schema, None, rows[1][1], options, probes=8).count() == 10
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_cells_find_nine_of_ten(spark, sf, monkeypatch):
+    used = []
+    monkeypatch.setattr(ann.CellIndex, "search", lambda self, assigned, schema, text, vector, options, probes=8, f=ann.CellIndex.search: used.append((self, assigned, probes)) or f(self, assigned, schema, text, vector, options, probes))
+    assert catalogue.ann_cells(spark, f"/root/testdata/{sf}").count() == 10
+    index, assigned, probes = used[0]
+    rows = assigned.select("key", "vector", "cell").collect()
+    keys, x, cells = np.array([r.key for r in rows]), np.array([r.vector for r in rows], np.float64), np.array([r.cell for r in rows])
+    recall = [np.isin(cells[np.lexsort((keys, ((x - q) ** 2).sum(1)))[:10]], index.probes(q, probes)).mean() for q in x[keys % 50 == 0]]
+    assert len(recall) == len(rows) // 50 and np.mean(recall) >= 0.9
+
+
 def test_quantise_and_normalise(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [r.n for r in df.select(distance.normalise(F.col("v")).alias("n")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
