@@ -32,8 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in the benchmark."""
-    return op2_decontaminate.clean(op2_decontaminate.find(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+    """Documents of which less than a twentieth is in the benchmark, without what is; n_chars follows the text where it is cut."""
+    found = op2_decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("not contaminated")
+    hit = F.col("n_hit") > 0
+    cut = op2_decontaminate.cut_spans(found, [*docs.columns, "n_hit"])
+    return cut.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,14 @@ def test_pipeline(spark, tmp_path):
     assert seen["personal_data"].where("text like '%@b.org%'").count() == 0 and op6_pii.find(seen["personal_data"]).where("size(findings) > 0").count() == 0
     assert ids["packing"] == ids["personal_data"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["packing"]
+
+
+def test_decontamination_cuts_passages_of_long_documents(spark, tmp_path):
+    rng = random.Random(9)
+    item, before, after = prose(30, rng), prose(900, rng), prose(900, rng)
+    rows = [(1, f"{before} {item} {after}", "en", "s", 7), (2, before, "en", "s", 7), (3, f"{item} end", "en", "s", 7), (4, None, None, None, None)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 4} and got[2].text == before and got[2].n_chars == 7 and got[4].text is None
+    assert got[1].text.split() == f"{before} {after}".split() and got[1].n_chars == len(got[1].text)
