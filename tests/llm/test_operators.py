@@ -439,9 +439,11 @@ def page(title, body, k):
 def test_extraction(spark):
     rows = [(i, "http://h.org/x", page(f"T{i}", f"<p>one &amp; <b>tw</b>o\n {i}<p>three<br>four&nbsp;five<ul><li>a<li>b</ul><form>f</form>", i)) for i in range(8)]
     rows += [(20, None, None), (21, "http://z/", ""), (22, "http://z/", "plain < text"), (23, "http://one/", "<div class=menu>m</div><div><p>alone <i>here</i></p></div>"), (24, "http://h.org/y", "<p>" + "word " * 50_000), (0, "http://h.org/x", rows[0][2])]
-    shared = "<html><body><div><span>Site of news</span></div><div><p>body {k} text</p></div><div><span>Terms apply</span></div></body></html>"
-    rows += [(30 + k, "http://plain.com/", shared.format(k=k)) for k in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    shared = "<html><body><div><span>Site of news</span></div><p>{body}</p><div><span>Terms apply</span></div>{more}</body></html>"
+    bodies = [f"body {k} text of some {k * k} words" for k in range(12)]
+    rows += [(30 + k, "http://plain.com/", shared.format(body=b, more="<div class='comments'>rare</div><math>x<p>y</math>" if k == 3 else "")) for k, b in enumerate(bodies)]
+    rows += [(60 + k, "http://copies.com/", shared.format(body="a text that is copied", more=f"<p>{k}</p>")) for k in range(12)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int").repartition(3)
     for limit in (32 << 20, 0):
         got = {r.page_id: r for r in op10_extract.extract(df, limit).collect()}
         assert len(got) == len({r[0] for r in rows})
@@ -449,11 +451,64 @@ def test_extraction(spark):
             assert got[i].text == f"T{i} one & two {i} three four five a b"
         assert (got[20].text, got[20].n_chars, got[21].text, got[22].text, got[23].text) == ("", 0, "", "plain < text", "alone here")
         assert got[24].n_chars == 50_000 * 5 - 1
-        for k in range(5):
-            assert got[30 + k].text == f"body {k} text"  # the runs that all pages share are the template's
+        for k, b in enumerate(bodies):
+            assert got[30 + k].text == (f"{b} x y" if k == 3 else b)  # the runs that all pages share are the template's
+            assert got[60 + k].text == f"Site of news a text that is copied Terms apply {k}"  # copies of one text say nothing about a template
     assert op10_extract.extract(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_the_template_parts_the_page():
+    reader = op10_extract.Reader()
+    parts = list(reader.read(page("T", "<p>one<p>two", 1)))
+    assert op10_extract.text_of(parts, op10_extract.alone(parts)) == "T one two"
+    assert op10_extract.text_of(parts, op10_extract.Template()) == "menu 1 buy 1 T one two side 1 first! © 1"
+
+
+def test_classes_equal_full_occurrence_vectors(spark):
+    rng = random.Random(6)
+    pages = []
+    for k in range(40):
+        items = "".join(f"<li><a href=x>{rng.choice(VOCABULARY)}</a></li>" for _ in range(rng.randint(1, 4)))
+        body = "".join(f"<p>{prose(5, rng)}{'<i>x</i>' if rng.random() < 0.5 else ''}</p>" for _ in range(rng.randint(1, 5)))
+        pages.append(f"<html><body><nav><ul>{items}</ul></nav><div class=lead>{prose(4, rng)}<br></div><article><h1>{k}</h1>{body}<p>Share this text</p></article>{'<aside>a</aside>' if k % 4 else ''}</body></html>")
+    reader = op10_extract.Reader()
+    read = [list(reader.read(p)) for p in pages]
+    for group in {op10_extract.layout(r) for r in read}:
+        of = [r for r in read if op10_extract.layout(r) == group]
+        vectors, firsts = collections.defaultdict(lambda: [0] * len(of)), {}
+        for k, parts in enumerate(of):
+            for at, (kind, element, text) in enumerate(parts):
+                t = op10_extract.run_token(element, text) if kind == op10_extract.TEXT else element.open + (kind == op10_extract.CLOSE)
+                vectors[t][k] += 1
+                firsts.setdefault(t, {}).setdefault(k, at)
+        classes = collections.defaultdict(list)
+        for t, v in vectors.items():
+            if 2 * sum(n > 0 for n in v) >= len(of):
+                classes[tuple(v)].append(t)
+        wanted = {tuple(sorted((t for t in c if t > 0), key=lambda t: (sum(firsts[t].values()), t))) for c in classes.values() if sum(t > 0 for t in c) > 1}
+        runs = {t for c in classes.values() if sum(t > 0 for t in c) > 1 for t in c if t < 0}
+        df = spark.createDataFrame([("h", p) for p, r in zip(pages, read, strict=True) if op10_extract.layout(r) == group], "host string, html string").repartition(3)
+        (found,) = op10_extract.templates(df).toArrow().to_pylist()
+        template, inner = op10_extract._deduced(found)
+        got = collections.defaultdict(list)
+        for t, (c, i) in sorted(template.place.items(), key=lambda x: x[1]):
+            got[c].append(t)
+            assert i == len(got[c]) - 1
+        assert {tuple(x) for x in got.values()} == wanted
+        assert template.runs and template.runs == {t for t in runs if all(vectors[t])}  # text on half of the pages is no template's
+        for c, nest in enumerate(template.nest):  # each class lies between the tags of the element around it, on every page
+            for parts in of:
+                at, order = -1, {}
+                for kind, element, _ in parts:
+                    if kind == op10_extract.TEXT:
+                        continue
+                    own, i = template.place.get(element.open + (kind == op10_extract.CLOSE), (None, 0))
+                    order[own] = i
+                    assert own != c or not nest or nest[1] <= order.get(nest[0], -1) < nest[2]
+                    at = i if own == c else at
+        assert len(template.sizes) >= 3 and any(template.nest)
+
+
 def test_columns_that_clash(spark, docs):
     assert op6_pii.redact(op6_pii.find(docs), docs.columns).columns == docs.columns
     assert op2_decontaminate.find(docs, docs.select(F.col("doc_id").alias("item_id"), "text", "hit")).count() == docs.count()
