@@ -340,17 +340,68 @@ def test_urls(spark):
         ("http://w.org/en/", "w.org", "/en/", None, None), (None, "", "", None, None), ("no scheme", "", "", None, None), ("", "", "", None, None), ("http://casino-win.example.org/1", "casino-win.example.org", "/1", None, "block"),
         ("http://a.org?u=http://b.net/en/", "a.org", "", None, None), ("http://netx/", "netx", "/", None, None),
     ]
-    more = [(f"http://{w}{k}.example.org/en/{k}", None) for k in range(40) for w in ("blog.reading", "casino-bets", "casino-win")]
-    rows = [(i, u[0]) for i, u in enumerate([*urls, *more])] + [(0, urls[0][0])]
-    got = op7_urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    more = [(f"http://{w}{k}.example.org/en/{k}", None) for k in range(3) for w in ("blog.reading-garden", "casino-bets", "win-adult-pills")] + [("http://x.example.com/" + "cheap-pills/" * 20_000, None)]
+    rows = [(i, u[0], "x", 1) for i, u in enumerate([*urls, *more])] + [(0, urls[0][0], "x", 1), (None, urls[0][0], "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, gram int")
+    got = op7_urls.judge(df).collect()
     assert len(got) == len(rows) and all(r.verdict in ("allow", "block") for r in got)
     by = {r.page_id: r for r in got}
     for i, (_, host, path, rule, verdict) in enumerate(urls):
         assert (by[i].host, by[i].path, by[i].rule) == (host, path, rule)
         assert verdict in (None, by[i].verdict)
     assert by[7].verdict == "allow" and by[7].score == 0
-    assert {by[i].verdict for i, (u, _) in enumerate(more, len(urls)) if "blog" in u} == {"allow"}
+    limit = plain_limit()
+    for i, (u, *_) in enumerate([*urls, *more]):
+        if len(u or "") < 10_000:
+            assert abs(by[i].score - plain_score(u)) < 1e-8
+        assert by[i].rule or by[i].verdict == ("block" if by[i].score > limit else "allow")
+    verdicts = {u: by[i].verdict for i, (u, _) in enumerate(more, len(urls))}
+    assert {v for u, v in verdicts.items() if "garden" in u} == {"allow"} and {v for u, v in verdicts.items() if "garden" not in u} == {"block"}
     assert op7_urls.judge(empty(spark, "page_id long, url string")).count() == 0
+    one = spark.createDataFrame([(n, f"http://{n}.example/", False) for n in ("a", "b", "c", "d", "e", "f")], "name string, url string, rejected boolean")
+    assert op7_urls.judge(df, known=one).where("rule is null and verdict = 'block'").count() == 0
+
+
+def folded(url):
+    return "^^^" + re.sub("[^a-z0./_-]", "?", re.sub("[0-9]", "0", (url or "").lower()))
+
+
+@functools.cache
+def plain_models():
+    """Counts of grams and of their contexts, by class, and the left-out examples."""
+    counts, contexts, left_out = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()], []
+    for r, names in enumerate((op7_urls.ACCEPTED, op7_urls.REJECTED)):
+        for name in names:
+            for form in op7_urls.FORMS:
+                if zlib.crc32(name.encode()) % 5 == 0:
+                    left_out.append((r, form.format(name)))
+                    continue
+                text = folded(form.format(name))
+                for i in range(3, len(text)):
+                    for k in range(4):
+                        counts[r][text[i - k : i + 1]] += 1
+                        contexts[r][text[i - k : i], k] += 1
+    return counts, contexts, left_out
+
+
+def plain_score(url):
+    counts, contexts, _ = plain_models()
+    text, total = folded(url), 0.0
+    if len(text) < 4:
+        return 0.0
+    for i in range(3, len(text)):
+        p = [1 / 33, 1 / 33]
+        for k in range(4):
+            p = [(counts[r][text[i - k : i + 1]] + 4 * p[r]) / (contexts[r][text[i - k : i], k] + 4) for r in (0, 1)]
+        total += math.log(p[1]) - math.log(p[0])
+    return total / (len(text) - 3)
+
+
+def plain_limit():
+    scores = [np.array([plain_score(u) for r, u in plain_models()[2] if r == c]) for c in (0, 1)]
+    (m0, m1), (s0, s1) = [x.mean() for x in scores], [x.std() for x in scores]
+    assert len(scores[0]) > 20 and len(scores[1]) > 20 and (scores[1] > m0).mean() > 0.9
+    return max((m0 * s1 + m1 * s0) / (s0 + s1), np.percentile(scores[0], 95))
 
 
 # 8
