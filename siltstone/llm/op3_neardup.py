@@ -3,34 +3,32 @@
 1.  Each text becomes its set of 64-bit shingle hashes; equal sets are one class
     straight away (an aggregate on the set's fingerprint), so the rest works on one
     representative per set.
-2.  ``trees * depth`` MinHashes. Tree ``t`` orders the representatives by its own
-    ``depth`` of them. Those that share two leading hashes with no other, in any
-    tree, are leaves without neighbours and drop out before anything wide is moved. The orders are range-partitioned (a hot prefix is cut across
-    partitions by the document's id) and sorted; runs with a common prefix are regions.
-    A region of more than ``cap`` members is split by the next hash, down to ``depth``
-    (adaptive depth); one that is still larger there holds near-identical signatures and
-    is walked in overlapping blocks of the sorted order.
-3.  Within a block, sketches of one bit for each of ``bits`` further MinHashes give similarity
-    estimates for all members. Round 1
-    takes the block's maximum spanning forest of the estimates (at most ``cap - 1``
-    pairs a block, however dense it is), confirms each pair on the full sets and
-    joins what is linked. The blocks part members that agree on two hashes only, so rounds 2 and 3 don't
-    use them: there all that share a tree's two leading hashes meet, each pair of them. More than
-    ``cell`` such members are dealt into groups, and each pair of groups is a cell of its own, for any task. Round 2
-    takes a spanning forest of the components a cell sees, round 3 every candidate pair that is still between different
+2.  ``trees * depth`` MinHashes. Tree ``t`` orders the representatives by its own ``depth`` of them. Those that share two leading
+    hashes with no other, in any tree, are leaves without neighbours and drop out before anything wide is moved.
+3.  Round 1: the orders are range-partitioned (a hot prefix is cut across partitions) and sorted. Each entry's candidates are its ``near``
+    neighbours on both sides, which have the longest common prefixes with it: deep in a crowded region, two hashes in a sparse one
+    (adaptive depth). Sketches of one bit for each of ``bits`` further MinHashes estimate the similarity; a spanning forest of
+    the likely pairs (fewer pairs than entries, however dense a region is) is confirmed on the full sets and joins what is linked.
+4.  What neighbours can't see (a region with more members than ``near`` between two that are alike, and a partition's border) is
+    left to rounds 2 and 3: there all that share a tree's two leading hashes and are of different components meet. A prefix whose members are of one
+    component by then, the usual case, moves nothing. In others the largest component's members don't meet one another: they are dealt into groups
+    of about ``cell`` that each meet all groups of the rest, once; pairs of groups are cells of their own, for any task.
+    Round 2 takes a spanning forest of the components a cell sees, round 3 every candidate pair that is still between different
     components.
-4.  Components by alternating minimum stars over the confirmed links.
+5.  Components by alternating minimum stars over the confirmed links.
 
 Confirmation joins full sets by key; nothing is collected to the driver but counts, and nothing that grows with the corpus
-is broadcast.
-A pair of similarity 0.8 is missed with a probability of about 1e-4, in a group of any size: it meets in no tree
-with ``(1 - 0.8 ** 2) ** trees``, and the estimate's margin is four standard deviations
+is broadcast. The result is the components of all confirmed pairs that share two leading hashes in a tree, so it doesn't depend on
+partitions. A pair of similarity 0.8 is missed with a probability of about 1e-4 by itself, in a group of any size: it meets in no tree
+with ``(1 - 0.8 ** 2) ** trees`` = 5e-6, and the estimate's margin is four standard deviations
 (``2 * sqrt(0.9 * 0.1 / bits)`` each, as two unlike minima share a bit half the time).
 
 Defined results: null, empty and blank texts have the empty set, link with nothing
-and are kept; fewer than four words are one shingle of all; repeated rows of one
-``doc_id`` and text are of one class and each is returned; a null ``doc_id`` is alone: its
-component is null and it is kept.
+and are kept; fewer than four words are one shingle of all; very long texts give their whole set; repeated rows of one
+``doc_id`` and text are of one class and each is returned; rows of one ``doc_id`` with different texts are linked only as
+their texts are, each class with its own component, named by its smallest ``doc_id``; a null ``doc_id`` is alone: its
+component is null and it is kept; ties don't arise (a component is a set). Columns other than doc_id and text are not read and not returned;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,8 +53,8 @@ class ForestParams:
     percent: int = 80  #: least similarity, per cent
     trees: int = 12
     depth: int = 8
-    cap: int = 256  #: members of a region before it is split by the next hash
-    cell: int = 1024  #: members that share two leading hashes before they are dealt into groups of about as many
+    near: int = 8  #: neighbours on each side in a tree's order
+    cell: int = 1024  #: members of a prefix before they are dealt into groups of about as many
     bits: int = 1024  #: of a sketch
     margin: float = 0.075  #: a candidate's estimate may be that much below the limit
     seed: int = 11
@@ -117,17 +115,8 @@ def sketch(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.packbits((best * np.uint32(0x9E3779B1)) >> np.uint32(31) != 0)
 
 
-def agreement(packed: np.ndarray) -> np.ndarray:
-    """Similarity estimates of all pairs of sketches (rows of bytes)."""
-    words = packed.view(np.uint64)
-    differ = np.zeros((len(words), len(words)), np.uint16)
-    for k in range(words.shape[1]):
-        differ += np.bitwise_count(words[:, None, k] ^ words[None, :, k])
-    return 1 - differ / (4 * packed.shape[1])
-
-
 def signatures(docs: DataFrame, p: ForestParams) -> DataFrame:
-    """doc_id, n_shingles, fp (the set's fingerprint) and sig; the last two null for the empty set."""
+    """doc_id, text_key (the text's hash), n_shingles, fp (the set's fingerprint) and sig; the last two null for the empty set."""
     a, b, *_ = _coefficients(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +125,16 @@ def signatures(docs: DataFrame, p: ForestParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, a, b).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "fp", "sig"],
+                names=["doc_id", "text_key", "n_shingles", "fp", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, fp binary, sig binary")
 
 
 def _entries(reps: DataFrame, p: ForestParams) -> DataFrame:
@@ -157,111 +148,64 @@ def _entries(reps: DataFrame, p: ForestParams) -> DataFrame:
                 n = part.num_rows
                 sigs = part.column("sig").to_pylist()
                 for t in range(p.trees):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, t, np.int32)),
-                            pa.array([x[t * wide : (t + 1) * wide] for x in sigs], pa.binary()),
-                            part.column("id"),
-                            part.column("comp"),
-                            part.column("n").cast(pa.int32()),
-                            part.column("sketch"),
-                        ],
-                        names=["tree", "key", "id", "comp", "n", "sketch"],
-                    )
-
-    return reps.select("id", "comp", "n", "sig", "sketch").mapInArrow(run, "tree int, key binary, id long, comp long, n int, sketch binary")
-
-
-def _regions(keys: np.ndarray, lo: int, hi: int, level: int, p: ForestParams) -> Iterator[tuple[int, int]]:
-    """Blocks of the sorted ``keys[lo:hi]``, which agree on their first ``level`` hashes."""
-    while True:
-        if hi - lo < 2:
-            return
-        if hi - lo <= p.cap:
-            yield lo, hi
-            return
-        if level == p.depth:
-            step = p.cap // 2
-            for s in range(lo, hi - step, step):
-                yield s, min(s + p.cap, hi)
-            return
-        column = keys[lo:hi, level]
-        cuts = np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [hi - lo]])
-        level += 1
-        if len(cuts) == 2:
-            continue
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s > 1:
-                yield from _regions(keys, lo + int(s), lo + int(e), level, p)
-        return
-
-
-def _pairs(p: ForestParams):
-    """Round 1's candidates from sorted entries; a run of equal first hashes is held at a time, up to a bound."""
-    least, hold = p.percent / 100 - p.margin, 40 * p.cap
-
-    def block(ids, comps, sizes, sketches) -> list[tuple[int, int]]:
-        m, estimate = len(ids), agreement(sketches)
-        few, many = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
-        ok = np.triu((estimate >= least) & (100 * few >= p.percent * many) & (comps[:, None] != comps[None]), 1)
-        x, y = np.nonzero(ok)
-        order = np.lexsort((ids[y], ids[x], -estimate[x, y]))
-        root, out = list(range(m)), []
-        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-            a, b = i, j
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                root[a] = b
-                out.append((int(ids[i]), int(ids[j])))
-        return out
+                    key = pa.array([x[t * wide : (t + 1) * wide] for x in sigs], pa.binary())
+                    columns = [pa.array(np.full(n, t, np.int32)), key, part.column("id"), part.column("n").cast(pa.int32()), part.column("sketch")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "key", "id", "n", "sketch"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n = batch.num_rows
-            keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(n, p.depth)
-            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
-            ids, comps, sizes = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
-            trees = batch.column("tree").to_numpy()
-            sizes = sizes.astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:, 0] != keys[:-1, 0]) | (trees[1:] != trees[:-1])) + 1, [n]])
-            found: list[tuple[int, int]] = []
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if e - s > 1:
-                    for lo, hi in _regions(keys, s, e, 1, p):
-                        found += block(ids[lo:hi], comps[lo:hi], sizes[lo:hi], sketches[lo:hi])
-            new = {(min(x), max(x)) for x in found} - seen
-            if len(seen) < 500_000:
-                seen.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64())], names=["a", "b"])
+    return reps.select("id", "n", "sig", "sketch").mapInArrow(run, "tree int, key binary, id long, n int, sketch binary")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, estimates: np.ndarray) -> np.ndarray:
+    """Which pairs make a spanning forest, the likeliest first."""
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    keep = []
+    order = np.lexsort((b, a, -estimates))
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _neighbours(p: ForestParams):
+    """Round 1's candidates from sorted entries: neighbours with the longest common prefixes, a forest of the likely ones."""
+    least = p.percent / 100 - p.margin
 
+    def found(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = part.num_rows
+        keys = np.frombuffer(b"".join(part.column("key").to_pylist()), ">u4").reshape(n, p.depth)
+        words = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+        tree, ids, sizes = (part.column(c).to_numpy() for c in ("tree", "id", "n"))
+        sizes = sizes.astype(np.int64)
+        xs, ys, es = [], [], []
+        for d in range(1, min(p.near, n - 1) + 1):
+            few, many = np.minimum(sizes[d:], sizes[:-d]), np.maximum(sizes[d:], sizes[:-d])
+            y = d + np.flatnonzero((tree[d:] == tree[:-d]) & (keys[d:, :2] == keys[:-d, :2]).all(1) & (100 * few >= p.percent * many))
+            estimate = 1 - np.bitwise_count(words[y] ^ words[y - d]).sum(1, dtype=np.int64) / (32 * words.shape[1])
+            ok = estimate >= least
+            xs.append(y[ok] - d)
+            ys.append(y[ok])
+            es.append(estimate[ok])
+        if xs and sum(map(len, xs)):
+            a, b, e = ids[np.concatenate(xs)], ids[np.concatenate(ys)], np.concatenate(es)
+            keep = _forest(a, b, e)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 4 * hold:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            first = [k[:4] for k in whole.column("key").to_pylist()]
-            end = whole.num_rows
-            while end and first[end - 1] == first[-1]:
-                end -= 1
-            if end == 0 or whole.num_rows - end > 4 * hold:  # one run fills the buffer: walk it with an overlap of ``cap``
-                yield from work(whole)
-                end = whole.num_rows - p.cap
-            else:
-                yield from work(whole.slice(0, end))
-            held, rows = [whole.slice(end)], whole.num_rows - end
-        if rows:
-            yield from work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            for s in range(0, batch.num_rows, 20_000):
+                whole = pa.Table.from_batches([*before, batch.slice(s, 20_000)])
+                yield from found(whole)
+                before = whole.slice(max(0, whole.num_rows - p.near)).to_batches()
 
     return run
 
@@ -269,37 +213,60 @@ def _pairs(p: ForestParams):
 def candidates(reps: DataFrame, p: ForestParams) -> DataFrame:
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = _entries(reps, p).repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return sorted_.mapInArrow(_pairs(p), "a long, b long").distinct()
+    return sorted_.mapInArrow(_neighbours(p), "a long, b long").distinct()
+
+
+def prefixes(reps: DataFrame, p: ForestParams) -> DataFrame:
+    """prefix (a number of a tree and its two leading hashes) and id, for each tree and representative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(batch.num_rows, p.trees, p.depth)[:, :, :2].astype(np.uint64)
+            prefix = (((sig[:, :, 0] << np.uint64(32)) + sig[:, :, 1]) * MIX[1] + np.arange(p.trees, dtype=np.uint64)[None] * MIX[2]).view(np.int64)
+            for t in range(p.trees):
+                yield pa.RecordBatch.from_arrays([pa.array(prefix[:, t]), batch.column("id")], names=["prefix", "id"])
 
+    return reps.select("id", "sig").mapInArrow(run, "prefix long, id long")
 
-def _prefixes(sigs: pa.Array, p: ForestParams) -> np.ndarray:
-    """For each signature and tree a number of the tree and its two leading hashes."""
-    sig = np.frombuffer(b"".join(sigs.to_pylist()), ">u4").reshape(len(sigs), p.trees, p.depth)[:, :, :2].astype(np.uint64)
-    prefix = ((sig[:, :, 0] << np.uint64(32)) + sig[:, :, 1]) * MIX[1] + np.arange(p.trees, dtype=np.uint64)[None] * MIX[2]
-    return prefix.view(np.int64)
 
+def alive(reps: DataFrame, p: ForestParams) -> tuple[DataFrame, DataFrame]:
+    """Representatives that share a prefix with another, and the shared prefixes' rows (prefix, id)."""
+    every = materialise(prefixes(reps, p), "prefixes")
+    shared = every.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1").select("prefix")
+    members = materialise(every.join(shared.hint("merge"), "prefix", "left_semi"), "shared")
+    out = materialise(reps.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "alive")
+    discard(every)
+    return out, members
 
-def _cells(reps: DataFrame, p: ForestParams) -> DataFrame:
-    """A row for each tree and representative, with its prefix's cell; one for each cell of its group where a prefix is dealt into groups."""
+
+def _cells(reps: DataFrame) -> DataFrame:
+    """A row for each cell in which a representative meets others. ``dealt``: its prefixes with their largest component and the numbers of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
-                prefix, groups = _prefixes(part.column("sig"), p), np.ones((part.num_rows, p.trees), np.int64)
+                spread = (part.column("id").to_numpy().astype(np.uint64) * MIX[3] >> np.uint64(33)).astype(np.int64).tolist()
+                comps, row, at = part.column("comp").to_pylist(), [], []
                 for k, dealt in enumerate(part.column("dealt").to_pylist()):
-                    for d in dealt or ():
-                        groups[k, prefix[k] == d["prefix"]] = d["groups"]
-                spread = (part.column("id").to_numpy().astype(np.uint64) * MIX[3] >> np.uint64(33)).astype(np.int64)
-                for t in range(p.trees):
-                    g = groups[:, t]
-                    row = np.repeat(np.arange(len(g)), g)
-                    own, other = (spread % g)[row], np.arange(len(row)) - np.repeat(np.cumsum(g) - g, g)
-                    cell = [np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32), (own > other).astype(np.int32)]
-                    rest = part.select(["id", "comp", "n", "sketch"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(prefix[row, t]), *map(pa.array, cell), rest.column("id"), rest.column("comp"), rest.column("n").cast(pa.int32()), rest.column("sketch")], names=["prefix", "i", "j", "side", "id", "comp", "n", "sketch"])
-
-    return reps.select("id", "comp", "n", "sig", "sketch", "dealt").mapInArrow(run, "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary")
+                    for d in dealt:
+                        prefix, large, rest = d["prefix"], d["large"], d["rest"]
+                        if comps[k] == d["main"]:  # meets the rest's groups
+                            own = -1 - spread[k] % large
+                            new = [(prefix, own, j, 0) for j in range(rest)]
+                        else:
+                            own = spread[k] % rest
+                            new = [(prefix, -1 - g, own, 1) for g in range(large)]
+                            new += [(prefix, min(own, j), max(own, j), int(own > j)) for j in range(rest)]
+                        at += new
+                        row += [k] * len(new)
+                    if len(row) > 20_000 or k == part.num_rows - 1 and row:
+                        rest_ = part.select(["id", "comp", "n", "sketch"]).take(pa.array(row))
+                        cell = [pa.array(x, t) for x, t in zip(zip(*at, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*cell, rest_.column("id"), rest_.column("comp"), rest_.column("n").cast(pa.int32()), rest_.column("sketch")], names=["prefix", "i", "j", "side", "id", "comp", "n", "sketch"])
+                        row, at = [], []
+
+    return reps.select("id", "comp", "n", "sketch", "dealt").mapInArrow(run, "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary")
 
 
 def _met(p: ForestParams, forest: bool):
@@ -334,19 +301,7 @@ def _met(p: ForestParams, forest: bool):
             return ids[:0], ids[:0]
         x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
         if forest:
-            order, keep, root = np.lexsort((ids[y], ids[x], -e)), [], {}
-
-            def top(c: int) -> int:
-                while root.setdefault(c, c) != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            for k, a, b in zip(order.tolist(), comps[x[order]].tolist(), comps[y[order]].tolist(), strict=True):
-                a, b = top(a), top(b)
-                if a != b:
-                    root[a] = b
-                    keep.append(k)
+            keep = _forest(comps[x], comps[y], e)
             x, y = x[keep], y[keep]
         return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
@@ -378,45 +333,40 @@ def _met(p: ForestParams, forest: bool):
     return run
 
 
-def met(reps: DataFrame, p: ForestParams, forest: bool) -> DataFrame:
-    """Candidates of all that share a tree's two leading hashes, however many."""
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = _cells(reps, p).repartition(n, "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
-    return sorted_.mapInArrow(_met(p, forest), "a long, b long").distinct()
-
-
-def alive(reps: DataFrame, p: ForestParams) -> DataFrame:
-    """Representatives that share two leading hashes with another in some tree; dealt: those of their prefixes that are cut into groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = _prefixes(batch.column("sig"), p)
-            for t in range(p.trees):
-                yield pa.RecordBatch.from_arrays([pa.array(prefix[:, t]), batch.column("id")], names=["prefix", "id"])
-
-    prefixes = materialise(reps.select("id", "sig").mapInArrow(run, "prefix long, id long"), "prefixes")
-    shared = materialise(prefixes.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    ids = materialise(prefixes.join(shared.select("prefix").hint("merge"), "prefix", "left_semi").select("id").distinct(), "alive-ids")
-    large = shared.where(F.col("c") > p.cell).select("prefix", F.ceil(F.col("c") / p.cell).cast("int").alias("groups"))
-    dealt = materialise(prefixes.join(large.hint("merge"), "prefix").select("id", F.struct("prefix", "groups").alias("d")).distinct(), "dealt")
-    by_id = dealt.groupBy("id").agg(F.collect_list("d").alias("dealt"))
-    out = materialise(reps.join(ids.hint("merge"), "id", "left_semi").join(by_id.hint("merge"), "id", "left"), "alive")
-    discard(prefixes, shared, ids, dealt)
+def met(near: DataFrame, members: DataFrame, p: ForestParams, forest: bool) -> DataFrame:
+    """Candidates between different components of all that share a prefix, however many. ``near``: id, n, sketch and comp."""
+    of = materialise(members.join(near.select("id", "comp").hint("merge"), "id"), "members")
+    counts = of.groupBy("prefix", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("prefix").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+    groups = [F.ceil(c / p.cell).cast("int") for c in (F.col("m.c"), F.col("total") - F.col("m.c"))]
+    mixed = mixed.select("prefix", F.struct("prefix", F.col("m.comp").alias("main"), groups[0].alias("large"), groups[1].alias("rest")).alias("d"))
+    dealt = of.select("prefix", "id").join(mixed.hint("merge"), "prefix").groupBy("id").agg(F.collect_list("d").alias("dealt"))  # at most one a tree
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = _cells(near.join(dealt.hint("merge"), "id")).repartition(n, "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
+    out = materialise(cells.mapInArrow(_met(p, forest), "a long, b long").distinct(), "met")
+    discard(of)
     return out
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, p: ForestParams) -> DataFrame:
-    """id, set (little-endian sorted hashes) and sketch of the whole texts of ``ids``."""
+def full_sets(docs: DataFrame, near: DataFrame, p: ForestParams) -> DataFrame:
+    """id, set (little-endian sorted hashes) and sketch of ``near`` (id, doc_id, fp), from whole texts."""
     *_, a, b = _coefficients(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            sets = [shingles(t, p.words) for t in utf8(batch.column("text"))]
-            columns = [pa.array(x, pa.binary()) for x in ([s.tobytes() for s in sets], [sketch(s, a, b).tobytes() for s in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "set", "sketch"])
+            out = []
+            for text, of in zip(utf8(batch.column("text")), batch.column("of").to_pylist(), strict=True):
+                s = shingles(text, p.words)
+                raw = s.tobytes()
+                fp = xxhash.xxh128_digest(raw)
+                out += [(x["id"], raw, sketch(s, a, b).tobytes()) for x in of if x["fp"] == fp]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "set", "sketch"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    return materialise(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary, sketch binary"), "sets")
+    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "id")).alias("of"))  # one, but for ids with different texts
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    found = texts.join(wanted.hint("merge"), "doc_id").select("text", "of").mapInArrow(run, "id long, set binary, sketch binary")
+    return materialise(found.dropDuplicates(["id"]), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
@@ -478,29 +428,61 @@ def components(links: DataFrame) -> DataFrame:
 def _numbered(reps: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return reps.withColumn("comp", F.col("id"))
-    return reps.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return reps.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    every = materialise(signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p), "signatures")
+def grouped(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """doc_id, text_key, n_shingles, class (a number of the component, null if alone) and component_id of each row of ``docs`` (doc_id, text)."""
+    every = materialise(signatures(docs, p), "signatures")
     some = every.where("fp is not null and doc_id is not null")
     best = F.min(F.struct("doc_id", "n_shingles", "sig"))
-    reps = some.groupBy("fp").agg(best.alias("r")).select("fp", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), "r.sig")
+    reps = some.groupBy("fp").agg(best.alias("r")).select("fp", F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), "r.sig")
     reps = materialise(reps, "reps")
-    near = alive(reps, p)
-    sets = full_sets(docs, near.select("id").distinct(), p)
-    bare, near = near, materialise(near.join(sets.select("id", "sketch").distinct().hint("merge"), "id"), "sketched")
+    shared = materialise(reps.groupBy("doc_id").agg(F.min("fp").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "shared-ids")
+    repeated = not shared.isEmpty()
+    if repeated:  # sets that share a smallest doc_id: one takes it as its number, the others numbers of their own
+        own = F.when(F.col("first").isNull() | (F.col("first") == F.col("fp")), F.col("doc_id")).otherwise(-F.shiftrightunsigned(F.xxhash64("fp"), 2) - (1 << 62))
+        numbered = materialise(reps.join(shared.hint("merge"), "doc_id", "left").withColumn("id", own).drop("first"), "numbered")
+        discard(reps)
+        reps = numbered
+    else:
+        reps = reps.withColumn("id", F.col("doc_id"))
+    bare, members = alive(reps, p)
+    sets = full_sets(docs, bare, p)
+    near = materialise(bare.join(sets.select("id", "sketch").hint("merge"), "id"), "sketched")
     discard(bare)
-    comps = components(confirm(candidates(_numbered(near, None), p), sets, p))
+    comps = components(confirm(candidates(near, p), sets, p))
     for forest in (True, False):
-        more = confirm(met(_numbered(near, comps), p, forest), sets, p)
+        found = met(_numbered(near, comps), members, p, forest)
+        more = confirm(found, sets, p)
+        discard(found)
         if not more.isEmpty():
-            comps = components(more.union(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
-    classes = materialise(_numbered(reps.select("fp", "id"), comps).select("fp", "comp"), "classes")
-    discard(near, sets, reps)
-    light = every.select("doc_id", "n_shingles", "fp")
-    linked = light.where("fp is not null").join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-    alone = light.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.union(alone)
-    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            old, comps = comps, components(more.union(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+            discard(old)
+    classes = _numbered(reps.select("fp", "id", "doc_id"), comps).select("fp", F.col("comp").alias("class"), "doc_id")
+    if repeated:
+        names = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+        classes = classes.join(names.hint("merge"), "class").select("fp", "class", "component_id")
+    else:
+        classes = classes.select("fp", "class", F.col("class").alias("component_id"))
+    classes = materialise(classes, "classes")
+    discard(near, sets, members, comps, shared)
+    light = every.select("doc_id", "text_key", "n_shingles", "fp")
+    linked = light.where("fp is not null and doc_id is not null").join(classes, "fp", "left").select("doc_id", "text_key", "n_shingles", "class", "component_id")
+    alone = light.where("fp is null or doc_id is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
+
+
+def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return grouped(docs, p).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def survivors(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """doc_id, text_key and gone (true or false) of each distinct row: of a class one row stays, that of the smallest doc_id, then text_key.
+    Rows that are alone stay."""
+    rows = materialise(grouped(docs, p).groupBy("doc_id", "text_key", "class").agg(F.count("*").alias("copies")), "grouped")
+    first = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    found = rows.join(first.hint("merge"), "class", "left")
+    return found.select("doc_id", "text_key", "copies", F.coalesce(F.struct("doc_id", "text_key") != F.col("first"), F.lit(False)).alias("gone"))

@@ -156,9 +156,9 @@ def test_near_duplicates(spark, docs):
         rows.append((100 + k, " ".join(w)))
         if k % 4 == 0:
             base[k] = f"drift{k}"
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, id int, fp string")
     expected = groups(rows)
-    for p in (op3_neardup.ForestParams(), op3_neardup.ForestParams(cap=16, depth=3)):
+    for p in (op3_neardup.ForestParams(), op3_neardup.ForestParams(cell=16, near=2, depth=3)):
         got = op3_neardup.near_duplicates(df, p).collect()
         assert len(got) == len(rows)
         assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
@@ -167,6 +167,21 @@ def test_near_duplicates(spark, docs):
     assert op3_neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_ids_with_different_texts_and_partitions(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(60, rng) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (4, c + " end"), (None, a), (9, None), (9, "")]
+    got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in op3_neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, True, 1), (2, True, 1), (2, True, 2), (3, True, 2), (3, True, 3), (4, True, 3), (None, True, None), (9, False, 9)}
+    rows = star(400, 200, 5, rng) + [(1000 + i, t) for i, t in star(30, 200, 1, rng)]
+    results = []
+    for n in (4, 37):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append(sorted(map(tuple, op3_neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), op3_neardup.ForestParams(cell=50)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert results[0] == results[1] and {r[2] for r in results[0]} == {0, 1000}
+
+
 def star(n, words, changes, rng):
     """An original and ``n`` variants of it, which are like the original but not like each other."""
     base = [f"w{rng.getrandbits(40)}" for _ in range(words)]
