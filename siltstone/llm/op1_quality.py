@@ -11,7 +11,8 @@ then scored over its whole text by a narrow map, without a shuffle.
 
 Defined results: a null text counts as empty; an empty text has only its
 structure features and gets a score like any other; a null ``doc_id`` is kept
-(``held_out`` false) and never trains; repeated rows are each scored; several labels of a
+(``held_out`` false) and never trains; repeated rows are each scored, and of those with labels one of an id trains; very long texts are read whole; a null
+``n_chars`` is a bin of its own; ties don't arise; an empty table gives an empty result; several labels of a
 document are averaged and rounded (half up); with one class or none among the labels the
 score is that class' smoothed share everywhere.
 """
@@ -167,9 +168,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: FMParams) -> DataFrame:
-    """At most ``p.sample`` labelled rows: those of the smallest hashes, so the choice
+    """label_id, text, n_chars and label of at most ``p.sample`` labelled rows, one of an id: those of the smallest hashes, so the choice
     doesn't depend on the layout. That choice is made on ids; texts follow by a
-    broadcast of at most ``p.sample`` ids."""
+    broadcast of at most ``p.sample`` ids, and of rows that repeat an id the one with the smallest hash of its text counts."""
     wanted = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("label_id"))
@@ -177,7 +178,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: FMParams) -> DataFrame:
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(p.sample)
     )
-    return docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("label_id"))
+    rows = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("label_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "n_chars", "text", "label")).alias("r")
+    return rows.groupBy("label_id").agg(one).select("label_id", "r.text", "r.n_chars", "r.label")
 
 
 def train(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams()) -> FactorisationMachine:

@@ -6,13 +6,16 @@ sent to every task; there each document's words are numbered in the benchmark's
 vocabulary, the window hashes come from one rolling polynomial over the batch,
 and every hit is verified word by word before its words are marked.
 
-The set's size is checked: about ``max_windows`` windows go out at once. A
-larger benchmark is taken in blocks of items, one after the other in the same
-pass, and their marks are united row by row, so the result doesn't change.
+The set's size is checked: at most ``max_windows`` windows go out at once. A
+larger benchmark is taken in blocks, an item with more windows than a block in
+overlapping parts; each block is a pass of its own over what the one before it
+wrote, so a task holds one block, and their marks are united row by row, so the result doesn't change.
 
 Defined results: null or word-less texts have no words, no hits and the digest
 of the empty string; items without an id or without words take no part; rows that
-repeat an item_id are one item; documents that repeat are each reported.
+repeat an item_id are one item; documents that repeat are each reported; ties don't arise; very long texts are read
+whole, a text at a time; null doc_ids stay; other columns stay as they are, but for those named in ``ADDED`` and ``contaminated``, which are
+replaced; an empty table gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, slices, utf8
+from .common import extended, materialise, slices, utf8
 
 #: Everything that isn't a word byte becomes a space; A-Z become a-z.
 NORMAL = bytes((c | 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -43,10 +46,13 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
+        self.whole: dict[object, set[bytes]] = {}  # of items that are a window or more
         found: dict[int, dict[tuple[int, ...], set]] = {}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             n = min(window, len(ids))
+            if n == window:
+                self.whole.setdefault(item, set()).add(b" %b " % b" ".join(words))
             for i in range(len(ids) - n + 1):
                 found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
         self.tables = []
@@ -85,6 +91,13 @@ class Windows:
         return [(marked[s:e], x) for s, e, x in zip(starts[:-1], starts[1:], items, strict=True)]
 
 
+    def holds_whole(self, text: list[bytes], items: set) -> bool:
+        """Whether one of the items, of ``window`` words or more, is in the text from its first word to its last."""
+        wanted = [x for i in items for x in self.whole.get(i, ())]
+        joined = b" %b " % b" ".join(text) if wanted else b""
+        return any(x in joined for x in wanted)
+
+
 def _hashes(grams: np.ndarray) -> np.ndarray:
     h = np.zeros(len(grams), np.uint64)
     for j in range(grams.shape[1]):
@@ -93,21 +106,23 @@ def _hashes(grams: np.ndarray) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> Iterator[Windows]:
-    """Blocks of whole items of about ``max_windows`` windows; streamed, so the driver holds one at a time."""
+    """Blocks of at most ``max_windows`` windows; streamed, so the driver holds one at a time."""
     items, held = [], 0
     for row in benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
         words = words_of(row.text.encode())
-        if words:
-            items.append((str(row.item_id), words))
-            held += max(len(words) - window + 1, 1)
-        if held >= max_windows:
-            yield Windows(items, window)
-            items, held = [], 0
+        for s in range(0, max(len(words) - window + 1, min(len(words), 1)), max_windows):
+            part = words[s : s + max_windows + window - 1]
+            n = max(len(part) - window + 1, 1)
+            if items and held + n > max_windows:
+                yield Windows(items, window)
+                items, held = [], 0
+            items.append((str(row.item_id), part))
+            held += n
     if items:
         yield Windows(items, window)
 
 
-ADDED = {"hit": "binary", "items": "array<string>", "n_words": "long", "n_hit": "long"}
+ADDED = {"hit": "binary", "items": "array<string>", "n_words": "long", "n_hit": "long", "whole": "boolean"}
 
 
 def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
@@ -122,7 +137,9 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
             got = w.scan(texts)
             marks = [m for m, _ in got]
             items = [x for _, x in got]
+            whole = [bool(x) and w.holds_whole(t, x) for t, x in zip(texts, items, strict=True)]
             if again:
+                whole = [x or b for x, b in zip(whole, batch.column("whole").to_pylist(), strict=True)]
                 before = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(t)).astype(bool) if b else False for b, t in zip(batch.column("hit").to_pylist(), texts, strict=True)]
                 marks = [m | b for m, b in zip(marks, before, strict=True)]
                 items = [x | set(b) for x, b in zip(items, batch.column("items").to_pylist(), strict=True)]
@@ -131,6 +148,7 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                 "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 "n_words": pa.array([len(t) for t in texts], pa.int64()),
                 "n_hit": pa.array([int(m.sum()) for m in marks], pa.int64()),
+                "whole": pa.array(whole, pa.bool_()),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -140,12 +158,12 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 1_000_000) -> DataFrame:
     """``docs`` with ``hit`` (a bit for each word, empty without hits), ``items`` (ids as strings,
-    sorted), ``n_words`` and ``n_hit``. Columns of these names are replaced."""
+    sorted), ``n_words``, ``n_hit`` and ``whole`` (an item of ``window`` words or more is there as a whole). Columns of these names are replaced."""
     docs = docs.drop(*ADDED, "contaminated")
     blocks = _blocks(benchmark, window, max_windows)
     out = _scan(docs, next(blocks, None) or Windows([], window))
     for windows in blocks:
-        out = _scan(out, windows)
+        out = _scan(materialise(out, "scanned"), windows)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -43,12 +43,59 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["packing"]
 
 
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, folder, rows, kind=KIND, items=(), labels=()):
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return docs
+
+
 def test_decontamination_cuts_passages_of_long_documents(spark, tmp_path):
     rng = random.Random(9)
-    item, before, after = prose(30, rng), prose(900, rng), prose(900, rng)
-    rows = [(1, f"{before} {item} {after}", "en", "s", 7), (2, before, "en", "s", 7), (3, f"{item} end", "en", "s", 7), (4, None, None, None, None)]
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    item, before, after = prose(60, rng), prose(900, rng), prose(900, rng)
+    part = " ".join(item.split()[5:35])
+    rows = [(1, f"{before} {part} {after}", "en", "s", 7), (2, before, "en", "s", 7), (3, f"{part} end", "en", "s", 7), (4, None, None, None, None), (5, f"{before} {item} {after}", "en", "s", 7)]
+    docs = tables(spark, tmp_path, rows, items=[(1, item)])
     got = {r.doc_id: r for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 4} and got[2].text == before and got[2].n_chars == 7 and got[4].text is None
     assert got[1].text.split() == f"{before} {after}".split() and got[1].n_chars == len(got[1].text)
+
+
+def test_near_duplicates_removes_rows_not_ids(spark, tmp_path):
+    rng = random.Random(10)
+    a, b, c, d = (prose(60, rng) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, d + " more"), (None, a), (None, None), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], KIND)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    wanted = [(1, a), (2, b), (3, c), (3, d), (None, a), (None, None), (5, None), (6, "")]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
+def test_columns_of_operators_names_come_back(spark, tmp_path):
+    rng = random.Random(11)
+    clash = "score predicted held_out hit items n_words n_hit whole contaminated findings _text_key text_key doc gone class".split()
+    rows = [(i, prose(50, rng) + " mail a@b.org" * (i % 2), 9, *[f"{c}{i}" for c in clash]) for i in range(40)]
+    kind = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    docs = tables(spark, tmp_path, rows, kind, [(1, prose(20, rng))], [(i, int(i > 1), 0) for i in range(40)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "n_chars", *clash], name
+        for r in docs.collect():
+            assert tuple(r[c] for c in clash) == rows[r.doc_id][3:], name
+    assert docs.count() > 30 and corpus_pipeline.packing(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == docs.count()
+
+
+def test_empty_and_long(spark, tmp_path):
+    empty, full = tmp_path / "empty", tmp_path / "full"
+    tables(spark, empty, [])
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    rng = random.Random(12)
+    long = prose(60_000, rng)
+    tables(spark, full, [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", 1), (None, None, None, None, None), *((i, prose(30, rng), "en", "s", 1) for i in range(10, 30))], items=[(1, prose(20, rng))], labels=[(i, 1, 0) for i in range(30)])
+    got = corpus_pipeline.run(spark, str(full)).collect()
+    assert {r.doc_id for r in got} == {1, None, *range(10, 30)} and sum(r.length for r in got if r.doc_id == 1) > 4096
+    assert all(len(r.ids) == 4 * r.length for r in got)
