@@ -1,8 +1,8 @@
 """LM scoring by cross-entropy difference.
 
 A target model (from ``target``'s texts) and a background model (from all documents) are word n-gram models of the same form and
-smoothing over one shared vocabulary: the ``words - 2`` most frequent words of both together, one token for every other word and one for a
-text's boundary. A text is read as a ring that starts and ends at the boundary, so each token is predicted once and is a context once. A
+smoothing over one shared vocabulary: every word of both, and a token for a
+text's boundary; V tokens in all. A text is read as a ring that starts and ends at the boundary, so each token is predicted once and is a context once. A
 token's loss is the weighted mean of its losses in a bigram and a unigram model, each of which sums to 1 over the vocabulary:
 
     P2(b | a) = (count(ab) + m / V) / (count(a) + m),   P1(b) = (count(b) + 1) / (total + V)
@@ -10,25 +10,27 @@ token's loss is the weighted mean of its losses in a bigram and a unigram model,
 A text's loss is then a sum over its words (of what depends on ``count(a)``) and over its pairs (of ``log(count(ab) + m / V)``). A
 document's score is its mean background loss less its mean target loss: higher is more like the target.
 
-All counts are exact and cover every word of every text. The vocabulary's counts are the only thing that goes to the driver and to every
-task (``words`` numbers a model). Pair counts grow with the corpus and stay distributed: ``words ** 2`` numbers are spread evenly over
-buckets of ``2 ** place_bits`` by a bijection, so no frequent word or pair makes a bucket large.
+All counts are exact and cover every word and pair of every text; words and pairs are told apart by 64-bit hashes. Counts grow with the corpus and stay
+distributed: a key's first bits are its bucket, so no frequent word or pair makes a bucket's table large, and there are as many buckets
+as it takes for ``bucket_tokens`` tokens each. The counts of the ``frequent`` most frequent words are also sent to all tasks: their share of the losses is
+added where the text is read. That saves rows and changes no score.
 
-1.  Each block of texts sends one row a bucket with its pairs' counts; a task adds a bucket's rows up in one array of fixed size.
-2.  Each block of documents sends one row a bucket with its (pair, document, count) entries. They meet the bucket's counts in one sorted
-    stream; what comes back is a sum for each document of the block. Where there are more shuffle partitions than buckets, a bucket's
-    documents are cut into as many parts and its counts go to each.
+1.  Each block of texts sends one row a bucket with its pairs' counts; a task adds a bucket's rows up.
+2.  Each block of documents sends one row a bucket with its (key, document, count) entries, of pairs and of rarer words. They meet the bucket's counts in one sorted
+    stream; what comes back is a sum for each document of the block. Only the bucket's counts are held.
 3.  A block's sums, sorted by block, are added to its documents.
 
 Losses are added as integers (units of ``1 / UNIT``), so the result doesn't depend on partitions or on the order of rows. Blocks are
-numbered by partition and place: ``docs`` must be a table that is read, not the result of a shuffle (write it first).
+numbered by partition and place, so ``docs`` must be a table that is read: the result of a join, an aggregate or a shuffle is written first.
 
 Defined results: null and word-less texts have no words and the score 0; rows that repeat count and are scored each; an empty target or
-corpus leaves smoothing only.
+corpus leaves smoothing only; null doc_ids are kept; very long texts are read whole, each in a block of its own; ties (words that are equally frequent at the end of
+``frequent``) don't change a score; columns other than doc_id and text are not read and not returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,27 +46,19 @@ from .common import extended, materialise, slices, utf8
 from .op2_decontaminate import words_of
 
 UNIT = 1 << 20
-OTHER, BOUNDARY = 0, 1
-#: Of rows that meet in a bucket: counts of the models, then entries of documents.
-BACKGROUND, TARGET, ENTRIES = 0, 1, 2
+BOUNDARY = 0
+#: Rows that meet in a bucket, in this order: counts of pairs in both models and of words, then entries of documents.
+BACKGROUND, TARGET, WORDS, PAIR_ENTRIES, WORD_ENTRIES = range(5)
 
 
 @dataclass(frozen=True)
 class LMParams:
-    words: int = 1 << 16  #: of the vocabulary; a power of two
-    place_bits: int = 22  #: pairs of a bucket: 2 ** place_bits, 24 at most
+    frequent: int = 1 << 16  #: words whose counts are sent to all tasks
+    bucket_tokens: int = 1 << 22
     smoothing: float = 8.0  #: m
     bigram: float = 0.5  #: weight of the bigram model's loss
     block_bytes: int = 8 << 20
 
-    @property
-    def pair_bits(self) -> int:
-        return 2 * (self.words.bit_length() - 1)
-
-    @property
-    def buckets(self) -> int:
-        return max(1, 1 << (self.pair_bits - self.place_bits))
-
 
 class _Cache(dict):
     """Numbers of words, kept up to a bound."""
@@ -92,70 +86,112 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             yield batch.slice(s, 60_000)
 
 
-def rings(texts: list[bytes | None], numbers: _Cache, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all texts, each text led by its boundary, and each text's number of tokens (0 without words)."""
+def rings(texts: list[bytes | None], numbers: _Cache) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens (hashes) of all texts, each text led by its boundary, and each text's number of tokens (0 without words)."""
     parts, sizes = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if words := words_of(text):
             sizes[i] = len(words) + 1
-            parts += [np.array([boundary]), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
+            parts += [np.array([BOUNDARY]), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), sizes
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and their sums."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    return keys[starts], np.add.reduceat(n[order], starts)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    hashes: np.ndarray  #: of the words from number 2 on
-    background: np.ndarray  #: counts by number
-    target: np.ndarray
-
-    @staticmethod
-    def of(docs: DataFrame, target: DataFrame, p: LMParams) -> Vocabulary:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers = _Cache(word_hash)
-            for batch in blocks(batches, p.block_bytes):
-                found, n = np.unique(rings(utf8(batch.column("text")), numbers, 0)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["word", "n"])
-
-        def counted(texts: DataFrame) -> DataFrame:
-            return texts.select("text").mapInArrow(run, "word long, n long")
-
-        both = counted(docs).select("word", F.col("n").alias("b"), F.lit(0).cast("long").alias("t")).union(counted(target).select("word", F.lit(0).cast("long"), "n"))
-        counts = materialise(both.groupBy("word").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "words")
-        total = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("b"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("t"))), F.lit(0))).first()
-        top = counts.where("word <> 0").orderBy((F.col("b") + F.col("t")).desc(), "word").limit(p.words - 2).toPandas()  # at most ``words`` rows
-        b, t = np.zeros(len(top) + 2, np.int64), np.zeros(len(top) + 2, np.int64)
-        b[2:], t[2:] = top["b"], top["t"]
-        b[BOUNDARY], t[BOUNDARY] = total[2], total[3]
-        b[OTHER], t[OTHER] = total[0] - b.sum(), total[1] - t.sum()
-        return Vocabulary(top["word"].to_numpy(np.int64), b, t)
-
-    def numbers(self) -> _Cache:
-        known = {h: i + 2 for i, h in enumerate(self.hashes.tolist())}
-        return _Cache(lambda word: known.get(word_hash(word), OTHER))
-
-    def word_losses(self, p: LMParams) -> tuple[np.ndarray, np.ndarray]:
-        """For each model the part of the loss that depends on one word, in units."""
-        parts = []
-        for c in (self.background, self.target):
-            single = -np.log((c + 1) / (c.sum() + len(c)))
-            parts.append(np.rint(UNIT * ((1 - p.bigram) * single + p.bigram * np.log(c + p.smoothing))).astype(np.int64))
-        return parts[0], parts[1]
+    """What all tasks know: the size and totals, and the frequent words' counts."""
+
+    size: int
+    totals: tuple[int, int]  #: of background and target
+    hashes: np.ndarray  #: sorted; the boundary is among them
+    counts: tuple[np.ndarray, np.ndarray]
+    bits: int  #: 2 ** bits buckets
+
+    def word_losses(self, counts: np.ndarray, model: int, p: LMParams) -> np.ndarray:
+        """The part of a loss that depends on one word, in units."""
+        single = -np.log((counts + 1) / (self.totals[model] + self.size))
+        return np.rint(UNIT * ((1 - p.bigram) * single + p.bigram * np.log(counts + p.smoothing))).astype(np.int64)
 
     def pair_losses(self, counts: np.ndarray, p: LMParams) -> np.ndarray:
-        return np.rint(-UNIT * p.bigram * np.log(counts + p.smoothing / len(self.background))).astype(np.int64)
+        return np.rint(-UNIT * p.bigram * np.log(counts + p.smoothing / self.size)).astype(np.int64)
+
+    def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where tokens stand among the frequent words, and whether they do."""
+        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        return at, self.hashes[at] == tokens
+
+
+def word_counts(docs: DataFrame, target: DataFrame, p: LMParams) -> DataFrame:
+    """word (its hash), b and t: its counts in the documents and in the target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Cache(word_hash)
+        for batch in blocks(batches, p.block_bytes):
+            found, n = np.unique(rings(utf8(batch.column("text")), numbers)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["word", "n"])
 
+    def counted(texts: DataFrame) -> DataFrame:
+        return texts.select("text").mapInArrow(run, "word long, n long")
 
-def pair_keys(tokens: np.ndarray, p: LMParams) -> np.ndarray:
-    """Each token with the one after it, as a number below 2 ** pair_bits, spread by a bijection."""
+    zero = F.lit(0).cast("long")
+    both = counted(docs).select("word", F.col("n").alias("b"), zero.alias("t")).union(counted(target).select("word", zero, "n"))
+    return materialise(both.groupBy("word").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "words")
+
+
+def vocabulary(words: DataFrame, p: LMParams) -> Vocabulary:
+    size, b, t = words.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    top = words.orderBy(F.col("word") == BOUNDARY, (F.col("b") + F.col("t")).desc(), "word").limit(p.frequent)
+    top = top.union(words.where(F.col("word") == BOUNDARY)).distinct().toPandas().sort_values("word")  # at most ``frequent`` + 1 rows
+    if top.empty:
+        top.loc[0] = [BOUNDARY, 0, 0]
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = (max(4 * parts, (b + t) // p.bucket_tokens) - 1).bit_length()
+    columns = [top[c].to_numpy(np.int64) for c in ("word", "b", "t")]
+    return Vocabulary(size, (b, t), columns[0], (columns[1], columns[2]), min(bits, 24))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def pair_keys(tokens: np.ndarray) -> np.ndarray:
+    """Each token with the one after it, hashed to 64 bits."""
     after = np.append(tokens[1:], BOUNDARY)  # each ring starts at the boundary, where the one before it ends
-    return ((tokens * p.words + after).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << p.pair_bits) - 1)
+    return _mixed(_mixed(tokens.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64))
+
+
+def word_keys(tokens: np.ndarray) -> np.ndarray:
+    return _mixed(tokens.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
+def _cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The buckets in sorted ``keys``."""
+    of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if e > s:
+            yield int(of[s]), slice(s, e)
+
 
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 48 bits after the bucket's, in two parts."""
+    place = (keys << np.uint64(bits)) >> np.uint64(16)
+    return place.astype("<u4"), (place >> np.uint64(32)).astype("<u2")
 
-def _cut(keys: np.ndarray, shift: int, p: LMParams) -> Iterator[tuple[int, slice]]:
-    """The buckets in sorted ``keys``, whose places end ``shift`` bits above the lowest one."""
-    edges = np.searchsorted(keys >> np.uint64(shift + p.place_bits), np.arange(p.buckets + 1, dtype=np.uint64))
-    for bucket in np.flatnonzero(np.diff(edges)).tolist():
-        yield bucket, slice(int(edges[bucket]), int(edges[bucket + 1]))
+
+def _place(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low + (high.astype(np.int64) << 32)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -171,99 +207,142 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _places(keys: np.ndarray, p: LMParams) -> tuple[np.ndarray, np.ndarray]:
-    place = keys & np.uint64((1 << p.place_bits) - 1)
-    return place.astype("<u2"), (place >> np.uint64(16)).astype("u1")
-
-
-def pair_counts(texts: DataFrame, model: int, shared, p: LMParams) -> DataFrame:
-    """bucket, kind (the model) and blob (places and their counts; several rows for a large bucket)."""
+def pair_counts(texts: DataFrame, model: int, bits: int, p: LMParams) -> DataFrame:
+    """bucket, kind (the model) and blob (places and their counts, sorted; several rows for a large bucket)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value.numbers()
+        numbers = _Cache(word_hash)
         for batch in blocks(batches, p.block_bytes):
-            keys, n = np.unique(pair_keys(rings(utf8(batch.column("text")), numbers, BOUNDARY)[0], p), return_counts=True)
-            low, high = _places(keys, p)
-            rows = [(bucket, _pack(low[s], high[s], n[s].astype("<u4"))) for bucket, s in _cut(keys, 0, p)]
+            keys, n = np.unique(pair_keys(rings(utf8(batch.column("text")), numbers)[0]), return_counts=True)
+            low, high = _places(keys, bits)
+            rows = [(bucket, _pack(low[s], high[s], n[s].astype("<u4"))) for bucket, s in _cut(keys, bits)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["bucket", "blob"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, now = np.zeros(1 << p.place_bits, np.int64), None
-        touched, few = [], len(sums) // 8  # the places so far, as long as they are few
+        now, held, rows = None, [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            if not touched:
+            if not held:
                 return
-            used = np.unique(np.concatenate(touched)) if sum(map(len, touched)) < few else np.flatnonzero(sums)
-            for s in range(0, len(used), 100_000):
-                part = used[s : s + 100_000]
-                blob = _pack(*_places(part.astype(np.uint64), p), sums[part].astype("<i8"))
+            place, n = _summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            for s in range(0, len(place), 100_000):
+                part = place[s : s + 100_000]
+                blob = _pack(part.astype("<u4"), (part >> 32).astype("<u2"), n[s : s + 100_000].astype("<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([model], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
-            sums[used] = 0
-            touched.clear()
+            held.clear()
 
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if bucket != now:
                     yield from done()
-                    now = bucket
-                low, high, n = _unpack(blob, "<u2", "u1", "<u4")
-                place = low + (high.astype(np.int64) << 16)
-                sums[place] += n
-                if not touched or len(touched[0]) < few:
-                    touched.append(place)
-                    if len(touched) > 100:
-                        touched[:] = [np.unique(np.concatenate(touched))]
+                    now, rows = bucket, 0
+                low, high, n = _unpack(blob, "<u4", "<u2", "<u4")
+                held.append((_place(low, high), n.astype(np.int64)))
+                rows += len(low)
+                if rows > 4_000_000:  # frequent pairs come from every block: add up what is there
+                    held[:] = [_summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))]
+                    rows = 0
         yield from done()
 
     sent = texts.select("text").mapInArrow(send, "bucket int, blob binary")
     return sent.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(add, "bucket int, kind int, blob binary")
 
 
+def rare_words(words: DataFrame, shared) -> DataFrame:
+    """bucket, kind (WORDS) and blob (places and both counts) of the words that aren't sent to all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            word, b, t = (batch.column(c).to_numpy() for c in ("word", "b", "t"))
+            rare = ~v.places(word)[1]
+            keys = word_keys(word[rare])
+            order = np.argsort(keys)
+            keys, b, t = keys[order], b[rare][order], t[rare][order]
+            low, high = _places(keys, v.bits)
+            rows = [(bucket, WORDS, _pack(low[s], high[s], b[s].astype("<i8"), t[s].astype("<i8"))) for bucket, s in _cut(keys, v.bits)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
+
+    return words.select("word", "b", "t").mapInArrow(run, "bucket int, kind int, blob binary")
+
+
 def _around(docs: DataFrame, before: str) -> StructType:
     """The columns ``before``, the documents' ids as they are, and what a row carries."""
     return StructType([*StructType.fromDDL(before), *docs.select("doc_id").schema, *StructType.fromDDL("tokens long, b long, t long, blob binary")])
 
 
-def _entries(docs: DataFrame, shared, parts: int, p: LMParams) -> DataFrame:
-    """Rows of kind ENTRIES: a block's entries in a bucket (idx null), and a row for each document with its words' losses."""
+def _entries(docs: DataFrame, shared, p: LMParams) -> DataFrame:
+    """Rows of the two kinds of entries: a block's in a bucket (idx null), and a row for each document with its frequent words' losses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, (word_b, word_t) = shared.value.numbers(), shared.value.word_losses(p)
+        numbers, v = _Cache(word_hash), shared.value
+        losses = [v.word_losses(c, m, p) for m, c in enumerate(v.counts)]
         partition = TaskContext.get().partitionId()
-        block, turn = partition << 32, partition
-        names = ["bucket", "part", "kind", "block", "idx", "doc_id", "tokens", "b", "t", "blob"]
+        block, turn = partition << 32, partition * 977
+        names = ["bucket", "kind", "block", "idx", "doc_id", "tokens", "b", "t", "blob"]
+
+        def rows_of(keys: np.ndarray, doc: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
+            order = np.argsort(keys, kind="stable")  # documents stay in order
+            keys, doc = keys[order], doc[order]
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])) + 1]) if len(keys) else np.zeros(0, np.int64)
+            n = np.diff(np.append(starts, len(keys)))
+            times = -(-n // 255)
+            last = np.cumsum(times) - 1
+            keys, doc, n_ = np.repeat(keys[starts], times), np.repeat(doc[starts], times).astype("<u2"), np.full(int(times.sum()), 255, np.int64)  # an entry counts to 255
+            n_[last] = n - 255 * (times - 1)
+            low, high = _places(keys, v.bits)
+            n_ = n_.astype("u1")
+            return [(bucket, kind, _pack(low[s], high[s], doc[s], n_[s])) for bucket, s in _cut(keys, v.bits)]
+
         for batch in blocks(batches, p.block_bytes):
-            m, part = batch.num_rows, turn % parts
-            tokens, sizes = rings(utf8(batch.column("text")), numbers, BOUNDARY)
+            m = batch.num_rows
+            tokens, sizes = rings(utf8(batch.column("text")), numbers)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x[tokens])])[ends]) for x in (word_b, word_t)]
-            where = turn // parts % p.buckets
-            fixed = [np.full(m, where, np.int32), np.full(m, part, np.int32), np.full(m, ENTRIES, np.int32), np.full(m, block), np.arange(m, dtype=np.int32)]
+            at, known = v.places(tokens)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(np.where(known, x[at], 0))])[ends]) for x in losses]
+            where = (turn + np.arange(m) // 200) % (1 << v.bits)  # any bucket: spread
+            fixed = [where.astype(np.int32), np.full(m, PAIR_ENTRIES, np.int32), np.full(m, block), np.arange(m, dtype=np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), batch.column("doc_id"), *map(pa.array, (sizes, *sums)), pa.nulls(m, pa.binary())], names=names)
-            keys, n = np.unique((pair_keys(tokens, p) << np.uint64(16)) | np.repeat(np.arange(m, dtype=np.uint64), sizes), return_counts=True)
-            times = -(-n // 255)
-            last = np.cumsum(times) - 1
-            keys, counts = np.repeat(keys, times), np.full(int(times.sum()), 255, np.int64)  # an entry counts to 255
-            counts[last] = n - 255 * (times - 1)
-            low, high = _places(keys >> np.uint64(16), p)
-            doc, counts = keys.astype("<u2"), counts.astype("u1")
-            rows = [(bucket, _pack(low[s], high[s], doc[s], counts[s])) for bucket, s in _cut(keys, 16, p)]
+            doc = np.repeat(np.arange(m, dtype=np.int32), sizes)
+            rows = rows_of(pair_keys(tokens), doc, PAIR_ENTRIES) + rows_of(word_keys(tokens[~known]), doc[~known], WORD_ENTRIES)
             k = len(rows)
-            fixed = [np.array([x[0] for x in rows], np.int32), np.full(k, part, np.int32), np.full(k, ENTRIES, np.int32), np.full(k, block)]
+            fixed = [np.array([x[i] for x in rows], np.int32) for i in (0, 1)] + [np.full(k, block)]
             empty = [pa.nulls(k, c) for c in (pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), *empty, pa.array([x[1] for x in rows], pa.binary())], names=names)
-            block, turn = block + 1, turn + 1
+            yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), *empty, pa.array([x[2] for x in rows], pa.binary())], names=names)
+            block, turn = block + 1, turn + m // 200 + 1
+
+    return docs.select("doc_id", "text").mapInArrow(run, _around(docs, "bucket int, kind int, block long, idx int"))
+
+
+class _Table:
+    """A bucket's sorted places with values; 0 for others."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray]] = []
 
-    return docs.select("doc_id", "text").mapInArrow(run, _around(docs, "bucket int, part int, kind int, block long, idx int"))
+    def add(self, place: np.ndarray, *values: np.ndarray) -> None:
+        self.parts.append([place, *values])
+
+    def get(self, place: np.ndarray, n: int = 1) -> list[np.ndarray]:
+        if not self.parts:
+            return [np.zeros(len(place), np.int64)] * n
+        if len(self.parts) > 1 or not (self.parts[0][0][1:] >= self.parts[0][0][:-1]).all():
+            columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.parts = [[c[order] for c in columns]]
+        known, *values = self.parts[0]
+        at = np.minimum(np.searchsorted(known, place), len(known) - 1)
+        hit = known[at] == place
+        return [np.where(hit, x[at], 0) for x in values]
 
 
 def _look_up(shared, p: LMParams, bound: int = 64 << 20):
-    """Rows of the documents as they are; for each block a row with the sums of its documents' pairs (a bucket's, or several buckets' as
+    """Rows of the documents as they are; for each block a row with the sums of its documents' entries (a bucket's, or several buckets' as
     long as the sums of all blocks at hand take less than ``bound``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, used, now = [np.zeros(1 << p.place_bits, np.int64) for _ in range(2)], [], None
+        v, tables, now = shared.value, [_Table() for _ in range(3)], None
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         held, kind_of_id = 0, None
 
@@ -284,26 +363,30 @@ def _look_up(shared, p: LMParams, bound: int = 64 << 20):
             if texts.num_rows:
                 yield texts.select(["block", "idx", "doc_id", "tokens", "b", "t", "blob"])
             rest = batch.filter(batch.column("idx").is_null())
-            for bucket, part, kind, block, blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", "part", "kind", "block", "blob")), strict=True):
-                if (bucket, part) != now:
-                    for model, place in used:
-                        counts[model][place] = 0
-                    now, used = (bucket, part), []
-                if kind != ENTRIES:
-                    low, high, n = _unpack(blob, "<u2", "u1", "<i8")
-                    place = low + (high.astype(np.int64) << 16)
-                    counts[kind][place] = n
-                    used.append((kind, place))
+            for bucket, kind, block, blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", "kind", "block", "blob")), strict=True):
+                if bucket != now:
+                    tables, now = [_Table() for _ in range(3)], bucket
+                if kind == WORDS:
+                    low, high, b, t = _unpack(blob, "<u4", "<u2", "<i8", "<i8")
+                    tables[kind].add(_place(low, high), b, t)
+                    continue
+                if kind < WORDS:
+                    low, high, n = _unpack(blob, "<u4", "<u2", "<i8")
+                    tables[kind].add(_place(low, high), n)
                     continue
-                low, high, doc, n = _unpack(blob, "<u2", "u1", "<u2", "u1")
-                place, n = low + (high.astype(np.int64) << 16), n.astype(np.int64)
+                low, high, doc, n = _unpack(blob, "<u4", "<u2", "<u2", "u1")
+                place, n = _place(low, high), n.astype(np.int64)
+                if kind == PAIR_ENTRIES:
+                    more = [v.pair_losses(tables[m].get(place)[0], p) for m in (BACKGROUND, TARGET)]
+                else:
+                    more = [v.word_losses(c, m, p) for m, c in enumerate(tables[WORDS].get(place, 2))]
                 size = int(doc.max()) + 1
                 b, t = sums.get(block, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 if len(b) < size:
                     held += 16 * (size - len(b))
                     b, t = (np.concatenate([x, np.zeros(size - len(x), np.int64)]) for x in (b, t))
-                np.add.at(b, doc, n * shared.value.pair_losses(counts[BACKGROUND][place], p))
-                np.add.at(t, doc, n * shared.value.pair_losses(counts[TARGET][place], p))
+                np.add.at(b, doc, n * more[0])
+                np.add.at(t, doc, n * more[1])
                 sums[block] = b, t
                 if held > bound:
                     yield from flush()
@@ -338,15 +421,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
 
+def _is_read(docs: DataFrame) -> bool:
+    """Whether the rows come from files or constants, in the same order each time."""
+    return not re.search(r"Exchange|ExistingRDD|Join|Aggregate|Sort|Window|InArrow|InPandas|Generate|Sample", docs._jdf.queryExecution().executedPlan().toString())
+
+
 def score(docs: DataFrame, target: DataFrame, p: LMParams = LMParams()) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means over the words and the boundary) and score of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary.of(docs, target, p))
-    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // p.buckets)
-    counts = pair_counts(docs, BACKGROUND, shared, p).union(pair_counts(target, TARGET, shared, p))
-    counts = counts.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
-    rows = _entries(docs, shared, parts, p).unionByName(counts, allowMissingColumns=True)
-    sorted_ = rows.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part", "kind")
+    docs = docs.select("doc_id", "text")
+    docs = docs if _is_read(docs) else materialise(docs, "documents")
+    words = word_counts(docs, target, p)
+    known = vocabulary(words, p)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    counts = pair_counts(docs, BACKGROUND, known.bits, p).union(pair_counts(target, TARGET, known.bits, p)).union(rare_words(words, shared))
+    rows = _entries(docs, shared, p).unionByName(counts, allowMissingColumns=True)
+    sorted_ = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "kind")
     sums = sorted_.mapInArrow(_look_up(shared, p), _around(docs, "block long, idx int"))
     by_block = sums.repartition(F.col("block")).sortWithinPartitions("block", F.col("idx").asc_nulls_first())
     return by_block.mapInArrow(_finish, extended(docs.select("doc_id").schema, "n_words long, target_loss double, background_loss double, score double"))
