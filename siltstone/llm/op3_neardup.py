@@ -217,20 +217,20 @@ def candidates(reps: DataFrame, p: ForestParams) -> DataFrame:
 
 
 def prefixes(reps: DataFrame, p: ForestParams) -> DataFrame:
-    """prefix (a number of a tree and its two leading hashes) and id, for each tree and representative."""
+    """tree, prefix (a number of the tree and its two leading hashes) and id, for each tree and representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(batch.num_rows, p.trees, p.depth)[:, :, :2].astype(np.uint64)
             prefix = (((sig[:, :, 0] << np.uint64(32)) + sig[:, :, 1]) * MIX[1] + np.arange(p.trees, dtype=np.uint64)[None] * MIX[2]).view(np.int64)
             for t in range(p.trees):
-                yield pa.RecordBatch.from_arrays([pa.array(prefix[:, t]), batch.column("id")], names=["prefix", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(prefix[:, t]), batch.column("id")], names=["tree", "prefix", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "prefix long, id long")
+    return reps.select("id", "sig").mapInArrow(run, "tree int, prefix long, id long")
 
 
 def alive(reps: DataFrame, p: ForestParams) -> tuple[DataFrame, DataFrame]:
-    """Representatives that share a prefix with another, and the shared prefixes' rows (prefix, id)."""
+    """Representatives that share a prefix with another, and the shared prefixes' rows (tree, prefix, id)."""
     every = materialise(prefixes(reps, p), "prefixes")
     shared = every.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1").select("prefix")
     members = materialise(every.join(shared.hint("merge"), "prefix", "left_semi"), "shared")
@@ -239,8 +239,9 @@ def alive(reps: DataFrame, p: ForestParams) -> tuple[DataFrame, DataFrame]:
     return out, members
 
 
-def _cells(reps: DataFrame) -> DataFrame:
-    """A row for each cell in which a representative meets others. ``dealt``: its prefixes with their largest component and the numbers of groups."""
+def _cells(reps: DataFrame, p: ForestParams) -> DataFrame:
+    """A row for each cell in which a representative meets others, with its dealt prefixes by tree (0 where it has none).
+    ``dealt``: the prefixes with their largest component and the numbers of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +249,13 @@ def _cells(reps: DataFrame) -> DataFrame:
                 part = batch.slice(s, 500)
                 spread = (part.column("id").to_numpy().astype(np.uint64) * MIX[3] >> np.uint64(33)).astype(np.int64).tolist()
                 comps, row, at = part.column("comp").to_pylist(), [], []
-                for k, dealt in enumerate(part.column("dealt").to_pylist()):
+                of = np.zeros((part.num_rows, p.trees), np.int64)
+                every = part.column("dealt").to_pylist()
+                for k, dealt in enumerate(every):
+                    for d in dealt:
+                        of[k, d["tree"]] = d["prefix"]
+                part = part.append_column("of", pa.array([x.tobytes() for x in of], pa.binary()))
+                for k, dealt in enumerate(every):
                     for d in dealt:
                         prefix, large, rest = d["prefix"], d["large"], d["rest"]
                         if comps[k] == d["main"]:  # meets the rest's groups
@@ -261,19 +268,20 @@ def _cells(reps: DataFrame) -> DataFrame:
                         at += new
                         row += [k] * len(new)
                     if len(row) > 20_000 or k == part.num_rows - 1 and row:
-                        rest_ = part.select(["id", "comp", "n", "sketch"]).take(pa.array(row))
+                        rest_ = part.select(["id", "comp", "n", "sketch", "of"]).take(pa.array(row))
                         cell = [pa.array(x, t) for x, t in zip(zip(*at, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*cell, rest_.column("id"), rest_.column("comp"), rest_.column("n").cast(pa.int32()), rest_.column("sketch")], names=["prefix", "i", "j", "side", "id", "comp", "n", "sketch"])
+                        yield pa.RecordBatch.from_arrays([*cell, rest_.column("id"), rest_.column("comp"), rest_.column("n").cast(pa.int32()), rest_.column("sketch"), rest_.column("of")], names=["prefix", "i", "j", "side", "id", "comp", "n", "sketch", "of"])
                         row, at = [], []
 
-    return reps.select("id", "comp", "n", "sketch", "dealt").mapInArrow(run, "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary")
+    return reps.select("id", "comp", "n", "sketch", "dealt").mapInArrow(run, "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary, of binary")
 
 
 def _met(p: ForestParams, forest: bool):
-    """Candidates between different components from rows sorted by cell, which is held whole; of a forest only the pairs that join components."""
+    """Candidates between different components from rows sorted by cell, which is held whole: of a forest only the pairs that join
+    components, else each pair in the first tree in which it meets."""
     least = p.percent / 100 - p.margin
 
-    def found(square: bool, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(prefix: int, square: bool, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if square:
             right = left
@@ -302,17 +310,21 @@ def _met(p: ForestParams, forest: bool):
         x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
         if forest:
             keep = _forest(comps[x], comps[y], e)
-            x, y = x[keep], y[keep]
+        else:
+            shared = (of[x] == of[y]) & (of[x] != 0)
+            keep = np.flatnonzero(of[x, shared.argmax(1)] == prefix)
+        x, y = x[keep], y[keep]
         return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(whole: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
             i, j, side, ids, comps, sizes = (whole.column(c).to_numpy() for c in ("i", "j", "side", "id", "comp", "n"))
             words = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint64).reshape(whole.num_rows, -1)
-            sizes, out, held = sizes.astype(np.int64), [], 0
+            of = np.frombuffer(b"".join(whole.column("of").to_pylist()), np.int64).reshape(whole.num_rows, -1)
+            prefix, sizes, out, held = whole.column("prefix").to_numpy(), sizes.astype(np.int64), [], 0
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if e - s > 1 and (comps[s:e] != comps[s]).any():
-                    out.append(found(i[s] == j[s], side[s:e], ids[s:e], comps[s:e], sizes[s:e], words[s:e]))
+                    out.append(found(prefix[s], i[s] == j[s], side[s:e], ids[s:e], comps[s:e], sizes[s:e], words[s:e], of[s:e]))
                     held += len(out[-1][0])
                 if held > 100_000 or e == cuts[-1] and held:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
@@ -339,10 +351,10 @@ def met(near: DataFrame, members: DataFrame, p: ForestParams, forest: bool) -> D
     counts = of.groupBy("prefix", "comp").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("prefix").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
     groups = [F.ceil(c / p.cell).cast("int") for c in (F.col("m.c"), F.col("total") - F.col("m.c"))]
-    mixed = mixed.select("prefix", F.struct("prefix", F.col("m.comp").alias("main"), groups[0].alias("large"), groups[1].alias("rest")).alias("d"))
-    dealt = of.select("prefix", "id").join(mixed.hint("merge"), "prefix").groupBy("id").agg(F.collect_list("d").alias("dealt"))  # at most one a tree
+    mixed = mixed.select("prefix", F.col("m.comp").alias("main"), groups[0].alias("large"), groups[1].alias("rest"))
+    dealt = of.select("tree", "prefix", "id").join(mixed.hint("merge"), "prefix").groupBy("id").agg(F.collect_list(F.struct("tree", "prefix", "main", "large", "rest")).alias("dealt"))  # at most one a tree
     n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = _cells(near.join(dealt.hint("merge"), "id")).repartition(n, "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
+    cells = _cells(near.join(dealt.hint("merge"), "id"), p).repartition(n, "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
     out = materialise(cells.mapInArrow(_met(p, forest), "a long, b long").distinct(), "met")
     discard(of)
     return out

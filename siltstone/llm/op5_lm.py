@@ -10,7 +10,8 @@ token's loss is the weighted mean of its losses in a bigram and a unigram model,
 A text's loss is then a sum over its words (of what depends on ``count(a)``) and over its pairs (of ``log(count(ab) + m / V)``). A
 document's score is its mean background loss less its mean target loss: higher is more like the target.
 
-All counts are exact and cover every word and pair of every text; words and pairs are told apart by 64-bit hashes. Counts grow with the corpus and stay
+All counts cover every word and pair of every text. Words are told apart by 64-bit hashes, keys in a bucket by ``PLACE_BITS`` bits more (a count
+includes another's with a chance of about 4e-6). Counts grow with the corpus and stay
 distributed: a key's first bits are its bucket, so no frequent word or pair makes a bucket's table large, and there are as many buckets
 as it takes for ``bucket_tokens`` tokens each. The counts of the ``frequent`` most frequent words are also sent to all tasks: their share of the losses is
 added where the text is read. That saves rows and changes no score.
@@ -47,6 +48,8 @@ from .op2_decontaminate import words_of
 
 UNIT = 1 << 20
 BOUNDARY = 0
+#: Of a key, besides its bucket's: with at most about 2 ** 22 keys in a bucket, a key is taken for another with a chance of 2 ** -18.
+PLACE_BITS = 40
 #: Rows that meet in a bucket, in this order: counts of pairs in both models and of words, then entries of documents.
 BACKGROUND, TARGET, WORDS, PAIR_ENTRIES, WORD_ENTRIES = range(5)
 
@@ -185,9 +188,9 @@ def _cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 
 
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 48 bits after the bucket's, in two parts."""
-    place = (keys << np.uint64(bits)) >> np.uint64(16)
-    return place.astype("<u4"), (place >> np.uint64(32)).astype("<u2")
+    """The ``PLACE_BITS`` bits after the bucket's, in two parts."""
+    place = (keys << np.uint64(bits)) >> np.uint64(64 - PLACE_BITS)
+    return place.astype("<u4"), (place >> np.uint64(32)).astype("u1")
 
 
 def _place(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -227,7 +230,7 @@ def pair_counts(texts: DataFrame, model: int, bits: int, p: LMParams) -> DataFra
             place, n = _summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             for s in range(0, len(place), 100_000):
                 part = place[s : s + 100_000]
-                blob = _pack(part.astype("<u4"), (part >> 32).astype("<u2"), n[s : s + 100_000].astype("<i8"))
+                blob = _pack(part.astype("<u4"), (part >> 32).astype("u1"), n[s : s + 100_000].astype("<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([model], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
             held.clear()
 
@@ -236,7 +239,7 @@ def pair_counts(texts: DataFrame, model: int, bits: int, p: LMParams) -> DataFra
                 if bucket != now:
                     yield from done()
                     now, rows = bucket, 0
-                low, high, n = _unpack(blob, "<u4", "<u2", "<u4")
+                low, high, n = _unpack(blob, "<u4", "u1", "<u4")
                 held.append((_place(low, high), n.astype(np.int64)))
                 rows += len(low)
                 if rows > 4_000_000:  # frequent pairs come from every block: add up what is there
@@ -295,7 +298,7 @@ def _entries(docs: DataFrame, shared, p: LMParams) -> DataFrame:
             n_ = n_.astype("u1")
             return [(bucket, kind, _pack(low[s], high[s], doc[s], n_[s])) for bucket, s in _cut(keys, v.bits)]
 
-        for batch in blocks(batches, p.block_bytes):
+        for batch in blocks(batches, p.block_bytes // 2):
             m = batch.num_rows
             tokens, sizes = rings(utf8(batch.column("text")), numbers)
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -367,14 +370,14 @@ def _look_up(shared, p: LMParams, bound: int = 64 << 20):
                 if bucket != now:
                     tables, now = [_Table() for _ in range(3)], bucket
                 if kind == WORDS:
-                    low, high, b, t = _unpack(blob, "<u4", "<u2", "<i8", "<i8")
+                    low, high, b, t = _unpack(blob, "<u4", "u1", "<i8", "<i8")
                     tables[kind].add(_place(low, high), b, t)
                     continue
                 if kind < WORDS:
-                    low, high, n = _unpack(blob, "<u4", "<u2", "<i8")
+                    low, high, n = _unpack(blob, "<u4", "u1", "<i8")
                     tables[kind].add(_place(low, high), n)
                     continue
-                low, high, doc, n = _unpack(blob, "<u4", "<u2", "<u2", "u1")
+                low, high, doc, n = _unpack(blob, "<u4", "u1", "<u2", "u1")
                 place, n = _place(low, high), n.astype(np.int64)
                 if kind == PAIR_ENTRIES:
                     more = [v.pair_losses(tables[m].get(place)[0], p) for m in (BACKGROUND, TARGET)]
