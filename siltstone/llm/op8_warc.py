@@ -4,8 +4,8 @@ Writer: each task writes archives of its own into the shared folder, rolled at
 ``roll`` bytes: a stored member ``archive/data.warc.gz`` (one gzip member per
 record) and a stored member ``indexes/index.cdxj`` with each record's offset and
 length. A file gets its final name when it is complete, with the attempt in the
-name; only the archives that the committed attempts return are in the manifest, so
-a repeated or lost task leaves at most an orphan behind.
+name; only the archives that the committed attempts return are in the manifest, and
+what repeated or lost tasks left behind is deleted when it is written.
 
 Reader: finds the end record (with its ZIP64 locator and record where there are),
 parses the central directory, checks that the members are stored, reads the index
@@ -13,11 +13,15 @@ and then each record by its byte range. Nothing is extracted or read whole.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is
 written whole and the others are revisits of it. Digests are compared in an aggregate with map-side
-combining; payloads don't move.
+combining. The list of revisits goes to the pages as a broadcast if it has at most ``BROADCAST_REVISITS`` rows, and then payloads don't move; a
+longer one is met by a merge join, which moves them once (a hot digest's rows are split by the adaptive join).
+
+Files are written and read by tasks with pyarrow's file systems: local or mounted paths, and the stores that it knows (``s3a:`` is read as ``s3:``).
 
 Defined results: null html is an empty payload; a null url has no target; rows that repeat a page_id and payload
 are responses alike if they have the smallest page_id; null page_ids are written, and never referred to
-while another has the payload.
+while another has the payload; very long payloads are a record each, written and read one at a time; ties (rows of one page_id and payload) don't matter;
+columns other than page_id, url and html are not read and not returned; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ from .common import materialise, scratch_path, slices, utf8
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MAX32, MAX16 = 0xFFFFFFFF, 0xFFFF
+#: About 60 bytes each, 30 MB.
+BROADCAST_REVISITS = 500_000
 
 
 def _filesystem(folder: str):
@@ -53,6 +59,8 @@ def _filesystem(folder: str):
     parts = urlsplit(folder)
     if parts.scheme in ("", "file"):
         return fs.LocalFileSystem(), parts.path
+    if parts.scheme in ("s3a", "s3n"):
+        folder = f"s3{folder[3:]}"
     return fs.FileSystem.from_uri(folder)
 
 
@@ -215,7 +223,7 @@ class _Archive:
         return os.path.basename(self.path), len(self.index), self.zip.at
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 100, roll: int = 32 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least: int = 100, roll: int = 128 << 20) -> DataFrame:
     """Writes pages (page_id, url, html) to ``folder`` and returns the manifest: archive, records, bytes."""
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
@@ -223,13 +231,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, roll: int =
     long = pages.where(F.octet_length("payload") >= least)
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
     firsts = materialise(firsts.select(F.col("digest").alias("of"), "first"), "first-copies")
-    again = materialise(
-        long.select("page_id", "digest").join(firsts, F.col("digest") == F.col("of")).where("page_id is null or page_id <> first").select(F.col("page_id").alias("id"), "digest", "first").distinct(),
-        "revisits",
-    )
+    again = long.select("page_id", "digest").join(firsts, F.col("digest") == F.col("of")).where("page_id is null or page_id <> first")
+    again = materialise(again.select(F.col("page_id").alias("id"), "digest", "first").distinct(), "revisits")
+    again = again.hint("broadcast" if again.count() <= BROADCAST_REVISITS else "merge")
     same = (pages.page_id.eqNullSafe(again.id)) & (pages.digest == again.digest)
     rows = pages.join(again, same, "left").select("page_id", "url", "payload", pages.digest.alias("digest"), "first")
 
+    mark = uuid.uuid4().hex[:12]  # of this write's files
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(folder)
         filesystem.create_dir(root, recursive=True)
@@ -237,7 +246,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, roll: int =
         for batch in slices(batches, "payload"):
             for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive is None:
-                    archive = _Archive(filesystem, root, f"part-{task.partitionId():05d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zip")
+                    archive = _Archive(filesystem, root, f"part-{mark}-{task.partitionId():05d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zip")
                 number = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{archive.path}:{archive.offset}"))
                 archive.add(page_id, record_bytes("response" if first is None else "revisit", page_id, url, payload, digest, first, number))
                 if archive.offset >= roll:
@@ -248,7 +257,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, roll: int =
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "records", "bytes"])
 
-    return materialise(rows.mapInArrow(run, "archive string, records long, bytes long"), "manifest")
+    manifest = materialise(rows.mapInArrow(run, "archive string, records long, bytes long"), "manifest")
+    _delete_orphans(folder, mark, manifest)
+    return manifest
+
+
+def _delete_orphans(folder: str, mark: str, manifest: DataFrame) -> None:
+    """Files of this write that no committed attempt returned."""
+    spark = manifest.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*part-{mark}-*")) or []
+    if len(own) > manifest.count():
+        known = {r.archive for r in manifest.select("archive").toLocalIterator()}  # a name for each ``roll`` bytes
+        for status in own:
+            if status.getPath().getName() not in known:
+                files.delete(status.getPath(), False)
 
 
 def read_archive(filesystem, path: str) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -1,8 +1,8 @@
 """Nearest neighbours by cosine: a block matrix join with int8 tiles.
 
-The stated queries are taken in blocks of at most ``query_block`` vectors (a bounded
-broadcast); each block is one scan of all rows. A task lays its rows out in tiles. For a
-tile and a query block the product of the int8 codes (exact, in float32, over at most 1,024
+The stated queries are taken in blocks of at most ``query_block`` vectors and ``BLOCK_BYTES`` (a bounded
+broadcast; the driver holds one at a time); each block is a job of its own, one scan of all rows whose heaps are written before the next begins.
+A task lays its rows out in tiles. For a tile and some queries of the block (``STEP`` at a time, so the products take a few MB) the product of the int8 codes (exact, in float32, over at most 1,024
 dimensions at a time) gives every pair's cosine up to a bound: with x = s q + e for a unit vector,
 
     |x . y - s_x s_y (q_x . q_y)|  <=  |s_x q_x| |e_y| + |e_x|
@@ -10,13 +10,14 @@ dimensions at a time) gives every pair's cosine up to a bound: with x = s q + e
 Each query keeps a heap of its best rows; only pairs whose upper bound reaches the
 heap's worst are computed again from the original vectors, in double precision, one
 dimension after the other, so that equal vectors get equal scores wherever they are.
-A task sends at most ``k`` rows of a query, and one more heap merges the tasks'. The search is
+A task sends at most ``k`` rows of a query, and one more heap for each query merges the tasks', many queries in a batch. The search is
 exact: the bounds drop a pair only if it can't be among the k.
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite components take no part, neither as
 queries nor as candidates; nor do null ids. Only vectors of equal length are compared. Rows that
 repeat a query's id are the query's own; a query repeated with several vectors is searched by the
-smallest of them. Extra columns are ignored.
+smallest of them; ties go to the smaller vec_id. Vectors of any length are taken, in parts of 1,024 dimensions. Extra columns are not read and not returned; an empty
+table, or no queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TILE = 2048
+from .common import discard, materialise
+
+TILE, STEP, BLOCK_BYTES = 2048, 512, 16 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -79,6 +81,9 @@ class Coded:
             out += self.code[:, d : d + 1024].astype(np.float32) @ other.code[:, d : d + 1024].astype(np.float32).T
         return out
 
+    def part(self, s: int, e: int) -> Coded:
+        return Coded(*(x[s:e] for x in (self.ids, self.x, self.norm, self.code, self.scale, self.length, self.error)))
+
     def exact(self, i: np.ndarray, other: Coded, j: np.ndarray) -> np.ndarray:
         dot = _sum((self.x[i, d] * other.x[j, d] for d in range(self.x.shape[1])), len(i))
         return dot / (self.norm[i] * other.norm[j])
@@ -114,21 +119,26 @@ class Heaps:
 
 
 def _search(queries: Coded, tile: Coded, heaps: Heaps) -> None:
+    for first in range(0, len(queries.ids), STEP):
+        _search_step(queries.part(first, first + STEP), first, tile, heaps)
+
+
+def _search_step(queries: Coded, first: int, tile: Coded, heaps: Heaps) -> None:
     middle = queries.product(tile) * queries.scale[:, None] * tile.scale[None]
     bound = queries.length[:, None] * tile.error[None] + queries.error[:, None]
     own = queries.ids[:, None] == tile.ids[None]
     # with k rows of the tile whose lower bounds are at least b, nothing with an upper bound below b is needed
     low = np.where(own, -np.inf, middle - bound)
-    least = heaps.worst.copy()
+    least = heaps.worst[first : first + len(queries.ids)].copy()
     if tile.ids.shape[0] > heaps.k:
         least = np.maximum(least, np.partition(low, -heaps.k, 1)[:, -heaps.k])
     q, t = np.nonzero(~own & (middle + bound >= least[:, None]))
     for s in range(0, len(q), 200_000):
         i, j = q[s : s + 200_000], t[s : s + 200_000]
         score = queries.exact(i, tile, j)
-        near = score >= heaps.worst[i]
+        near = score >= heaps.worst[first + i]
         order = np.lexsort((tile.ids[j][near], -score[near]))
-        for a, v, d in zip(i[near][order].tolist(), tile.ids[j][near][order].tolist(), score[near][order].tolist(), strict=True):
+        for a, v, d in zip((first + i[near][order]).tolist(), tile.ids[j][near][order].tolist(), score[near][order].tolist(), strict=True):
             if d >= heaps.worst[a]:
                 heaps.push(a, d, v)
 
@@ -140,39 +150,70 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Coded]:
             yield from _by_length(part.column("vec_id").to_numpy(), part.column("embedding"))
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 4096) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``base`` to each of ``queries`` (vec_id, embedding)."""
     spark = base.sparkSession
     good = [df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) for df in (base, queries)]
-    asked = good[1].groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    found = None
+    asked = materialise(good[1].groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    parts = []
     for block in _query_blocks(asked, query_block):
-        part = _search_block(good[0], spark.sparkContext.broadcast(block), k)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+        shared = spark.sparkContext.broadcast(block)
+        parts.append(materialise(_search_block(good[0], shared, k), "heaps"))
+        shared.destroy()
+    discard(asked)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = spark.read.schema(parts[0].schema).parquet(*(x._siltstone_path for x in parts))
+    return found.repartition(F.col("query_id")).sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+
+
+def _merge(k: int):
+    """The best rows of each query from rows sorted by query."""
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        heaps = Heaps(1, k)
-        for i, s in zip(frame["vec_id"].tolist(), frame["score"].tolist(), strict=True):
-            heaps.push(0, s, i)
-        best = heaps.best(0)
-        return pd.DataFrame({"query_id": frame["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [i for _, i in best], "score": [s for s, _ in best]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap, out = None, Heaps(1, k), []
+
+        def take() -> None:
+            out.extend((now, r, i, s) for r, (s, i) in enumerate(heap.best(0), 1))
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"])
 
-    return found.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+        for batch in batches:
+            for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+                if q != now:
+                    if now is not None:
+                        take()
+                    now, heap = q, Heaps(1, k)
+                heap.push(0, s, i)
+            if len(out) > 10_000:
+                yield batch_of()
+                out.clear()
+        if now is not None:
+            take()
+        if out:
+            yield batch_of()
+
+    return run
 
 
 def _query_blocks(asked: DataFrame, size: int) -> Iterator[list[Coded]]:
     """Streamed to the driver, a block at a time."""
-    ids, vectors = [], []
+    ids, vectors, held = [], [], 0
+
+    def block() -> list[Coded]:
+        return list(_by_length(np.array(ids, np.int64), pa.array(vectors, pa.list_(pa.float64()))))
+
     for row in asked.toLocalIterator():
         ids.append(row.vec_id)
         vectors.append(row.embedding)
-        if len(ids) == size:
-            yield list(_by_length(np.array(ids, np.int64), pa.array(vectors, pa.list_(pa.float64()))))
-            ids, vectors = [], []
+        held += 8 * len(row.embedding)
+        if len(ids) == size or held >= BLOCK_BYTES:
+            yield block()
+            ids, vectors, held = [], [], 0
     if ids:
-        yield list(_by_length(np.array(ids, np.int64), pa.array(vectors, pa.list_(pa.float64()))))
+        yield block()
 
 
 def _search_block(base: DataFrame, shared, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import struct
@@ -446,10 +447,21 @@ def test_zip64_directory():
         op8_warc.ZipReader(io.BytesIO(b"nothing"), 7)
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("merge", [False, True])
+def test_warc_round_trip(spark, monkeypatch, merge):
     same = "<p>" + "é" * 200
     rows = [(5, "http://a/?q=%20 x\r\n", same), (3, None, same), (7, "u", same), (3, "again", same), (None, "n", same), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (8, "u", "b" * 300_000)]
-    got = op8_warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
+    folder = op8_warc.scratch_path(spark, "warc-test")
+    manifest = op8_warc.write_archives(df.limit(3), folder)
+    local = folder.removeprefix("file:").replace("///", "/")
+    (name,) = os.listdir(local)
+    for orphan in (f"{local}/.{name[:-6]}99.zip.part", f"{local}/other.zip"):
+        open(orphan, "w").close()
+    op8_warc._delete_orphans(folder, name.split("-")[1], manifest)
+    assert sorted(os.listdir(local)) == sorted([name, "other.zip"])
+    monkeypatch.setattr(op8_warc, "BROADCAST_REVISITS", 0 if merge else 100)
+    got = op8_warc.round_trip(df).collect()
     assert len(got) == len(rows)
     for r in got:
         html = next(h for i, u, h in rows if (i, u) == (r.page_id, r.url)) or ""
@@ -490,6 +502,13 @@ def test_neighbours_equal_brute_force(spark):
             order = sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:5]
             assert [(k, i) for k, i, _ in sorted(found)] == [(k + 1, i) for k, i in enumerate(order)]
             assert [v for *_, v in sorted(found)] == [s[i] for i in order]
+    wide = rng.normal(size=(120, 2500))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
+    unit = wide / np.linalg.norm(wide, axis=1)[:, None]
+    for r in op9_neighbours.search(base, base.where("vec_id % 50 = 0"), 1).collect():
+        s = unit @ unit[r.query_id]
+        s[r.query_id] = -9
+        assert r.vec_id == s.argmax()
     assert op9_neighbours.search(df, asked.limit(0)).count() == 0 and op9_neighbours.search(df.limit(0), asked).count() == 0
 
 
