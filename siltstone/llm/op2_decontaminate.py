@@ -125,8 +125,8 @@ def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> Iterator[Win
 ADDED = {"hit": "binary", "items": "array<string>", "n_words": "long", "n_hit": "long", "whole": "boolean"}
 
 
-def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
-    """Adds the columns, or unites them with those of the blocks scanned before."""
+def _scan(docs: DataFrame, windows: Windows, cut: bool) -> DataFrame:
+    """Adds the columns, or unites them with those of the blocks scanned before; ``cut``: hit words' bytes are taken out of the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     again = "hit" in docs.columns
 
@@ -150,20 +150,24 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                 "n_hit": pa.array([int(m.sum()) for m in marks], pa.int64()),
                 "whole": pa.array(whole, pa.bool_()),
             }
+            if cut:
+                columns["text"] = pa.array([t if t is None else _without(t, m).decode() if m.any() else t.decode() for t, m in zip(utf8(batch.column("text")), marks, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = docs.schema if again else extended(docs.schema, ", ".join(map(" ".join, ADDED.items())))
     return docs.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 1_000_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 1_000_000, cut: bool = False) -> DataFrame:
     """``docs`` with ``hit`` (a bit for each word, empty without hits), ``items`` (ids as strings,
-    sorted), ``n_words``, ``n_hit`` and ``whole`` (an item of ``window`` words or more is there as a whole). Columns of these names are replaced."""
+    sorted), ``n_words``, ``n_hit`` and ``whole`` (an item of ``window`` words or more, or a block's part of it, is there as a whole). Columns of these names are replaced.
+    ``cut``: the hit words are taken out of the texts (words keep their case elsewhere); the columns still tell of the text before that."""
     docs = docs.drop(*ADDED, "contaminated")
     blocks = _blocks(benchmark, window, max_windows)
-    out = _scan(docs, next(blocks, None) or Windows([], window))
-    for windows in blocks:
-        out = _scan(materialise(out, "scanned"), windows)
+    out, windows = docs, next(blocks, None) or Windows([], window)
+    for after in blocks:
+        out, windows = materialise(_scan(out, windows, False), "scanned"), after
+    out = _scan(out, windows, cut)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -179,32 +183,10 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(found: DataFrame, columns: list[str]) -> DataFrame:
-    """Documents of which less than a twentieth of the words are hit, with ``columns``."""
-    return found.where(~F.col("contaminated")).select(*columns)
-
-
-def cut_spans(found: DataFrame, columns: list[str]) -> DataFrame:
-    """All documents, with the hit words' bytes taken out of their texts (words keep their case elsewhere)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            texts = []
-            for text, hit in zip(utf8(batch.column("text")), batch.column("hit").to_pylist(), strict=True):
-                if hit:
-                    text = _without(text, hit)
-                texts.append(text if text is None else text.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in columns], names=columns)
-
-    return found.mapInArrow(run, found.select(columns).schema)
-
-
-def _without(text: bytes, hit: bytes) -> bytes:
-    words = [m.span() for m in WORD.finditer(text)]
-    marked = np.unpackbits(np.frombuffer(hit, np.uint8), count=len(words)).astype(bool)
+def _without(text: bytes, marked: np.ndarray) -> bytes:
     out, at = [], 0
-    for (start, end), gone in zip(words, marked, strict=True):
+    for m, gone in zip(WORD.finditer(text), marked, strict=True):
         if gone:
-            out.append(text[at:start])
-            at = end
+            out.append(text[at : m.start()])
+            at = m.end()
     return b"".join([*out, text[at:]])

@@ -55,8 +55,8 @@ class ForestParams:
     depth: int = 8
     near: int = 8  #: neighbours on each side in a tree's order
     cell: int = 1024  #: members of a prefix before they are dealt into groups of about as many
-    bits: int = 1024  #: of a sketch
-    margin: float = 0.075  #: a candidate's estimate may be that much below the limit
+    bits: int = 2048  #: of a sketch
+    margin: float = 0.055  #: a candidate's estimate may be that much below the limit
     seed: int = 11
 
 
@@ -64,7 +64,7 @@ class _Words(dict):
     """Word hashes, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -394,7 +394,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs, "pairs")
-    used = materialise(sets.select("id", "set").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id", "left_semi"), "used")
+    used = materialise(sets.select("id", "set").join(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).hint("merge"), "id", "left_semi"), "used")
     out = (
         pairs.join(used.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
         .join(used.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")

@@ -14,7 +14,9 @@ Ranks need no global sort: a task numbers its own pieces of a length, and the ta
 counts are summed up in order.
 
 Defined results: null counts as empty, and an empty document is the end token alone;
-repeated rows are packed each; null doc_ids are kept.
+repeated rows are packed each; null doc_ids are kept; very long texts are tokenised whole and cut into pieces; ties (pieces of one length) go by the task and the place in it,
+so which of them gets which place may change with the layout, the number of sequences never; columns other than doc_id and text are not read and
+not returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class CachedTokenizer:
     chunks' ids in order. Chunks and their letter runs are remembered up to a bound.
     """
 
-    def __init__(self, path: str, chunks: int = 600_000, pieces: int = 300_000) -> None:
+    def __init__(self, path: str, chunks: int = 300_000, pieces: int = 100_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
