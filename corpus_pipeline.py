@@ -60,8 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in the benchmark and that hold no item of it whole, without what is; n_chars follows the text where it is cut."""
     inside, restored = shielded(docs)
-    found = op2_decontaminate.find(inside, table(spark, sf_dir, "benchmark")).where("not contaminated and not whole")
-    cut = op2_decontaminate.cut_spans(found, [*inside.columns, "n_hit"])
+    cut = op2_decontaminate.find(inside, table(spark, sf_dir, "benchmark"), cut=True).where("not contaminated and not whole")
     return restored(cut.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
