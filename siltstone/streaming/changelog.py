@@ -14,17 +14,12 @@ def changes(spark: SparkSession, path: str, table: VectorTable, max_files: int =
 
 
 def ingest(stream: DataFrame, table: VectorTable, checkpoint: str) -> StreamingQuery:
-    """Applies change rows (seq orders them; op PUT or DELETE) to ``table``, all that are there, and ends.
+    """Applies change rows (op PUT, UPDATE or DELETE; PUT and UPDATE rows hold the whole new version) to ``table``, all that are there, and ends.
 
-    Of each batch the newest row of a key counts. A batch that is run again after a failure puts the same records again, so the
-    live records are the same."""
-    from ..operators.versions import latest
+    The source's seq stays the row's seq, so a row that comes late, in whatever batch, never replaces a newer one. A batch that is run again after
+    a failure adds versions that are there already, and changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        newest = latest(batch).persist()
-        names = ["key", "value", "vector", *(f.name for f in table.schema.fields)]
-        table.put_many(newest.where("op <> 'DELETE'").select("seq", *names), order_by="seq")
-        table.delete_many(newest.where("op = 'DELETE'").select("key"))
-        newest.unpersist()
+        table.replay(batch)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,8 +1,11 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.errors import AlreadyExists, Corrupt, InvalidArgument, NotFound, StoreError
+from siltstone.functions import generate
 from siltstone.plans.query import Options
 from siltstone.sources.schema import Field, Schema
 from siltstone.sources.table import VectorTable
@@ -107,6 +110,108 @@ def test_batches(spark, path):
         t.put_many(spark.createDataFrame([("a", "x")], "key string, nope string"))
 
 
+def test_two_writers_one_fails(spark, path):
+    t = VectorTable.create(spark, path, SCHEMA)
+    a, b = VectorTable.open(spark, path), VectorTable.open(spark, path)
+    a.put("k", "a")
+    with pytest.raises(Corrupt):
+        b.put("k", "b")
+    a.flush()
+    for call in (lambda: b.put("k", "b"), lambda: b.put_many(spark.createDataFrame([("x", "y")], "key string, value string")), lambda: t._publish(t.manifest)):
+        with pytest.raises(Corrupt):
+            call()
+    assert VectorTable.open(spark, path).get("k").value == b"a"
+
+
+def test_readers_keep_what_they_planned_on(spark, path):
+    t = VectorTable.create(spark, path, SCHEMA)
+    t.put_many(spark.createDataFrame([(f"k{i}", "v") for i in range(20)], "key string, value string"))
+    before = t.current()
+    t.compact()
+    middle = t.current()
+    t.put("k0", "new")
+    t.compact()
+    assert before.count() == middle.count() == 20 and {bytes(r.value) for r in before.collect()} == {b"v"}
+    assert len([n for n in t.files.names("") if n.startswith("base-")]) == 2
+    assert t.vacuum(retained=0, grace_ms=0) and len([n for n in t.files.names("") if n.startswith("base-")]) == 1 and t.current().count() == 20
+
+
+def test_crashes_leave_nothing_wrong(spark, path, tmp_path):
+    t = VectorTable.create(spark, path, SCHEMA)
+    t.put("a", "1", [1, 2, 3, 4])
+    t.flush()
+    t.put("b", "2", [0.1, 2, 3, 4], {"i": 1})
+    root = tmp_path / "db"
+    (root / "_log" / f"{t.next_seq:020d}.json").write_text('{"crc": 1, "se')
+    (root / "_manifest" / f"{t.manifest.number + 1:08d}.json").write_text('{"crc": 1')
+    for name in ("delta-lost", "base-lost", "_staged-lost"):
+        (root / name).mkdir()
+    t = VectorTable.open(spark, path)
+    assert keys(t) == ["a", "b"] and t.get("b").vector_id == 1 and t.get("b").vector == pytest.approx([0.1, 2, 3, 4])
+    seq = t.put("c", "3")
+    t.flush()
+    t = VectorTable.open(spark, path)
+    assert seq == 3 and keys(t) == ["a", "b", "c"] and t.current().where("vector is not null").count() == 2
+    assert {n for n in t.vacuum(grace_ms=0) if "lost" in n} == {"delta-lost", "base-lost", "_staged-lost"} and keys(t) == ["a", "b", "c"]
+    text = (root / "_manifest" / f"{t.manifest.number:08d}.json").read_text()
+    (root / "_manifest" / f"{t.manifest.number:08d}.json").write_text(text.replace('"next_seq": 4', '"next_seq": 9'))
+    assert VectorTable.open(spark, path).manifest.next_seq < 9
+
+
+def test_late_rows_never_win(spark, path, tmp_path):
+    t = VectorTable.create(spark, path, SCHEMA)
+    batches = [[(9, "PUT", "k", "new"), (5, "PUT", "d", "x")], [(8, "DELETE", "d", None), (4, "PUT", "k", "old")], [(6, "PUT", "d", "late"), (9, "PUT", "k", "new")], [(12, "UPDATE", "u", "whole")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "seq long, op string, key string, value string").selectExpr("seq", "op", "cast(key as binary) key", "cast(value as binary) value").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        changelog.ingest(changelog.changes(spark, f"{tmp_path}/in/*", t), t, f"{tmp_path}/checkpoint").awaitTermination()
+        if n == 1:
+            t.compact()
+    assert keys(t) == ["k", "u"] and t.get("k").value == b"new" and t.get("d") is None
+    t.compact()
+    assert keys(t) == ["k", "u"] and t.put("z", "1") == 13 and keys(VectorTable.open(spark, path)) == ["k", "u", "z"]
+
+
+@pytest.mark.parametrize("dim", [8, 100])
+def test_index_recall_pruning_and_upkeep(spark, path, dim):
+    t = VectorTable.create(spark, path, Schema(dim, (Field("i", "int"),)), flush_threshold=10**6)
+    rows = generate.vectors(spark, 600, dim, seed=dim).select(F.lpad(F.col("key").cast("string"), 6, "0").alias("key"), "vector", (F.col("key") % 10).alias("i"))
+    t.put_many(rows)
+    t.create_index(cells=8, probes=6)
+    t = VectorTable.open(spark, path)
+    assert t.manifest.base_index and t.current().count() == 600
+    hits, near = 0, Options(order_by="vector", descending=True, limit=10)
+    for r in rows.where("key % 100 = 0").collect():
+        wanted = {bytes(x.key) for x in t.query(None, r.vector, near).collect()}
+        hits += len(wanted & {bytes(x.key) for x in t.query_near(r.vector).collect()})
+    assert hits >= 48
+    plan = t.query_near(rows.first().vector)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    t.put("000000", None, [0.5] * dim, {"i": 77})
+    t.delete("000001")
+    t.put("extra", None, [0.5] * dim, {"i": 1})
+    for table in (t, VectorTable.open(spark, path)):
+        best = [bytes(x.key).decode() for x in table.query_near([0.5] * dim, "i >= 0").collect()]
+        assert best[:2] == ["000000", "extra"] and "000001" not in best
+    t.compact()
+    assert [bytes(x.key).decode() for x in t.query_near([0.5] * dim, "i >= 0").collect()][:2] == ["000000", "extra"] and t.manifest.base_index == t.manifest.index
+
+
+def test_single_puts_need_no_job(spark, path):
+    t = VectorTable.create(spark, path, SCHEMA, flush_threshold=10_000)
+    began = time.time()
+    for i in range(200):
+        t.put(f"k{i:03d}", "v", [1, 2, 3, 4], {"i": i})
+    assert time.time() - began < 10 and not t.manifest.deltas and t.get("k007").i == 7 and len(keys(VectorTable.open(spark, path), "i < 50")) == 50
+
+
+def test_generated_vectors(spark):
+    a = {r.key: r.vector for r in generate.vectors(spark, 200, 16, 5).collect()}
+    b = {r.key: r.vector for r in generate.vectors(spark, 200, 16, 5).repartition(7).collect()}
+    flat = [x for v in a.values() for x in v]
+    assert a == b and min(flat) < -0.95 and max(flat) > 0.95 and abs(sum(flat) / len(flat)) < 0.05 and all(-1 <= x <= 1 for x in flat)
+    assert {x for r in generate.vectors(spark, 500, 16, 5, "i8").collect() for x in r.vector} >= {-127, 0, 127}
+
+
 def test_stream(spark, path, tmp_path):
     t = VectorTable.create(spark, path, SCHEMA)
     kind = SCHEMA.changelog()
