@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .functions import distance
 from .operators import ann, batch, metrics, versions
 from .plans.query import Options, as_records, plan
+from .sources.schema import Field, Schema
+from .sources.scratch import scratch_path
+from .sources.table import VectorTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -266,6 +269,95 @@ def ann_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("ann_cells", ann_cells)
 
+# the search set of the training operators: every fiftieth row asks
+
+
+def knn_fiftieth(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return _knn_out(batch.knn_join(base.where("key % 50 = 0"), base, 5, metric))
+
+
+for _m in ("l2", "dot"):
+    add(f"batch_knn_fiftieth_{_m}", lambda s, d, m=_m: knn_fiftieth(s, d, m), _knn_sql(_m).replace("q.vec_id < 20", "q.vec_id % 50 = 0"))
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the ten nearest by cells, over every fiftieth row. No SQL: centroids are fitted."""
+    records, _, _ = embeddings(spark, sf_dir)
+    base = records.select("key", "vector")
+    index = ann.CellIndex.fit(base, cells=CELLS)
+    asked = base.where("key % 50 = 0")
+    return metrics.recall_at_k(batch.knn_join(asked, base, 10), index.knn_join(asked, index.assign(base), 10, probes=PROBES), 10).select(F.round("recall", 6).alias("recall"))
+
+
+add("ann_recall", ann_recall)
+
+# a stored table: written, changed, compacted, opened again
+
+
+def stored(spark: SparkSession, sf_dir: str, index: bool = False) -> VectorTable:
+    """All embeddings, keys zero-padded; then every fifth gets the label 77 and a negated vector, every seventh goes, key 1 is put and changed by hand."""
+    e = table(spark, sf_dir, "embeddings")
+    key = F.lpad(F.col("vec_id").cast("string"), 12, "0")
+    t = VectorTable.create(spark, scratch_path(spark, "table"), Schema(64, (Field("label", "int"), Field("note", "string"))), flush_threshold=10**9)
+    rows = e.select("vec_id", key.alias("key"), F.concat(F.lit("v"), F.col("vec_id")).alias("value"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("label"))
+    t.put_many(rows, order_by="vec_id")
+    fifth = rows.where("vec_id % 5 = 0").withColumns({"label": F.lit(77).cast("long"), "vector": F.transform("vector", lambda x: -x)})
+    t.put_many(fifth, order_by="vec_id")
+    t.compact()
+    t.delete_many(rows.where("vec_id % 7 = 0").select("key"))
+    t.put("000000000001", "by hand", [1.0] * 64, {"label": 5})
+    t.update_field("000000000001", {"note": "n"})
+    if index:
+        t.create_index(CELLS, PROBES)
+    else:
+        t.compact()
+    return VectorTable.open(spark, t.path)
+
+
+_STORED = f"""{_Q.replace("embedding::DOUBLE[] qv", "list_transform(embedding, lambda x: x::DOUBLE) qv").replace("vec_id = 0", "vec_id = 2")}, t AS (
+SELECT vec_id, CASE WHEN vec_id = 1 THEN 'by hand' ELSE 'v' || vec_id END AS value, CASE WHEN vec_id = 1 THEN 5 WHEN vec_id % 5 = 0 THEN 77 ELSE label END::BIGINT AS label,
+CASE WHEN vec_id = 1 THEN 'n' END AS note, CASE WHEN vec_id = 1 THEN list_transform(embedding, lambda x: 1.0::DOUBLE) WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: -(x::DOUBLE)) ELSE embedding::DOUBLE[] END AS v
+FROM embeddings WHERE vec_id % 7 <> 0)"""
+
+
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(spark, sf_dir).current()
+    return rows.select(F.col("key").cast("string").cast("long").alias("vec_id"), F.col("value").cast("string").alias("value"), "label", "note", F.round(F.get("vector", 0).cast("double"), 6).alias("x0"))
+
+
+add("table_round_trip", table_round_trip, f"{_STORED} SELECT vec_id, value, label, note, round(v[1], 6) AS x0 FROM t")
+
+
+def table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(spark, sf_dir)
+    q = table(spark, sf_dir, "embeddings").where("vec_id = 2").first().embedding
+    found = t.query("label >= 3 AND label != 77", q, _NEAR, ("label",))
+    return found.select(F.col("key").cast("string").cast("long").alias("vec_id"), "label", F.round("vector_score", 6).alias("vector_score"))
+
+
+add("table_query", table_query, f"{_STORED}, s AS (SELECT vec_id, label, {sql_score('l2', 'v')} s FROM t, q WHERE label >= 3 AND label <> 77) SELECT vec_id, label, round(s, 6) AS vector_score FROM s {_TOP}")
+
+
+def table_query_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the table's index. No SQL: centroids are fitted."""
+    t = stored(spark, sf_dir, index=True)
+    q = table(spark, sf_dir, "embeddings").where("vec_id = 2").first().embedding
+    return t.query_near(q, "label >= 0", _NEAR, ("label",)).select(F.col("key").cast("string").cast("long").alias("vec_id"), "label", F.round("vector_score", 6).alias("vector_score"))
+
+
+add("table_query_near", table_query_near)
+
+
+def table_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(spark, sf_dir)
+    names = [r.key for r in t.current().where("label = 77").orderBy("key").limit(3).select(F.col("key").cast("string").alias("key")).collect()]
+    rows = [(int(r.key), r.value.decode(), r.label) for r in map(t.get, ["000000000001", "000000000007", *names]) if r]
+    return spark.createDataFrame(rows, "vec_id long, value string, label long")
+
+
+add("table_get", table_get, f"{_STORED} SELECT vec_id, value, label FROM t WHERE vec_id = 1 UNION ALL (SELECT vec_id, value, label FROM t WHERE label = 77 ORDER BY vec_id LIMIT 3)")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the ten records most like record 0 among those with a label of at least 3."""

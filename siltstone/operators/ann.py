@@ -2,7 +2,8 @@
 
 ``fit`` finds centroids on a bounded sample, ``assign`` gives every row the cell of its nearest centroid, and a search
 reads the cells nearest to the query: an equality on the partition column, so other cells' files are not opened. How many
-cells are probed grows with the number of comparisons in the filter, since a filter thins the cells out.
+cells are probed grows with the number of comparisons in the filter, since a filter thins the cells out. A table keeps an index with its base
+(``VectorTable.create_index``): rows are assigned once, when they are compacted, and what was written since is searched whole.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
+from ..functions import distance
 from ..plans import query as plans
 from ..plans.predicate import comparisons, parse
 from ..sources.schema import Schema
@@ -61,9 +63,37 @@ class CellIndex:
         d = ((self.centroids - np.asarray(vector, np.float64)) ** 2).sum(1)
         return np.argsort(d, kind="stable")[:n].tolist()
 
+    def to_json(self) -> list:
+        return self.centroids.tolist()
+
+    @staticmethod
+    def from_json(data: list) -> CellIndex:
+        return CellIndex(np.array(data, np.float64))
+
+    def widened(self, probes: int, compared: int) -> int:
+        """Cells to probe for a filter of so many comparisons."""
+        return min(len(self.centroids), probes * (10 + compared) // 10)
+
+    def knn_join(self, queries: DataFrame, assigned: DataFrame, k: int, metric: str = "l2", probes: int = 8) -> DataFrame:
+        """query_key, rank, key, distance: each query's ``k`` nearest rows of its ``probes`` cells. ``queries``: key, vector; ``assigned``: key, vector, cell.
+        Queries are joined with rows by cell, a query's copies being at most ``probes``."""
+        c, kind = self.centroids, queries.schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column("vector").to_pylist()
+                cells = [np.argsort(((c - np.asarray(v, np.float64)) ** 2).sum(1), kind="stable")[:probes].tolist() for v in vectors]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("vector"), pa.array(cells, pa.list_(pa.int32()))], names=["query_key", "query_vector", "cells"])
+
+        schema = T.StructType([T.StructField("query_key", kind["key"].dataType), T.StructField("query_vector", kind["vector"].dataType), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+        asked = queries.where("vector is not null").select("key", "vector").mapInArrow(run, schema).select("query_key", "query_vector", F.explode("cells").alias("cell"))
+        pairs = asked.join(assigned.where("vector is not null").select("key", "vector", "cell"), "cell")
+        d = pairs.select("query_key", "key", distance.distance(F.col("vector"), F.col("query_vector"), metric).cast("double").alias("distance"))
+        rank = Window.partitionBy("query_key").orderBy("distance", "key")
+        return d.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_key", "rank", "key", "distance")
+
     def search(self, assigned: DataFrame, schema: Schema, filter: str | None, vector: Sequence[float], options: plans.Options, probes: int = 8) -> DataFrame:  # noqa: A002
-        widened = min(len(self.centroids), probes * (10 + comparisons(parse(filter, schema))) // 10)
-        some = assigned.where(F.col("cell").isin(self.probes(vector, widened)))
+        some = assigned.where(F.col("cell").isin(self.probes(vector, self.widened(probes, comparisons(parse(filter, schema))))))
         return plans.plan(some, schema, filter, vector, options)
 
 

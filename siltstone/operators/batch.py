@@ -1,7 +1,8 @@
 """Nearest rows of a base table to many query vectors at once, exactly.
 
 Queries go out in blocks of a bounded size; a task keeps each query's k best of its rows, and a window over
-at most k rows a task and query picks the final ones. Distances are folded dimension by dimension in double precision, as the
+at most k rows a task and query picks the final ones. A matrix product gives all distances up to a bound on its rounding; those that may be among the
+best are folded dimension by dimension in double precision, as the
 Column functions do, so both ways give the same scores.
 """
 
@@ -23,15 +24,24 @@ BLOCK_BYTES = 16 << 20
 
 
 def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    out = np.zeros((len(queries), len(rows)))
+    """Of pairs, given as two lists of vectors, folded."""
+    out = np.zeros(len(queries))
     for d in range(rows.shape[1]):
-        a, b = rows[None, :, d], queries[:, None, d]
+        a, b = rows[:, d], queries[:, d]
         out = out + ((a - b) * (a - b) if metric == "l2" else a * b)
     return out if metric == "l2" else -out
 
 
+def _bounds(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """All distances by a matrix product, and how far each may be from the folded one."""
+    product = queries @ rows.T
+    size = (queries * queries).sum(1)[:, None] + (rows * rows).sum(1)[None]
+    return size - 2 * product if metric == "l2" else -product, 4e-12 * size + 1e-300
+
+
 def _best(ids: list, vectors: np.ndarray, metric: str, k: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     best: list[list[tuple[float, object]]] = [[] for _ in ids]
+    worst = np.full(len(ids), np.inf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,11 +51,20 @@ def _best(ids: list, vectors: np.ndarray, metric: str, k: int, arrow: pa.Schema)
                 keys = part.column("key").to_pylist()
                 rows = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
                 for q0 in range(0, len(ids), 256):
-                    d = _distances(vectors[q0 : q0 + 256], rows, metric)
-                    kth = np.partition(d, min(k, d.shape[1]) - 1, 1)[:, min(k, d.shape[1]) - 1]
-                    for q in range(len(d)):
-                        near = np.flatnonzero(d[q] <= kth[q])
-                        best[q0 + q] = sorted(best[q0 + q] + [(float(d[q, i]), keys[i]) for i in near])[:k]
+                    d, error = _bounds(vectors[q0 : q0 + 256], rows, metric)
+                    high = d + error
+                    kth = np.partition(high, min(k, d.shape[1]) - 1, 1)[:, min(k, d.shape[1]) - 1]
+                    q, i = np.nonzero(d - error <= np.minimum(kth, worst[q0 : q0 + 256])[:, None])
+                    for s0 in range(0, len(q), 100_000):
+                        a, b = q[s0 : s0 + 100_000], i[s0 : s0 + 100_000]
+                        exact = _distances(vectors[q0 + a], rows[b], metric).tolist()
+                        new: dict[int, list[tuple[float, object]]] = {}
+                        for x, y, e in zip(a.tolist(), b.tolist(), exact, strict=True):
+                            new.setdefault(x, []).append((e, keys[y]))
+                        for x, found in new.items():
+                            best[q0 + x] = sorted(best[q0 + x] + found)[:k]
+                            if len(best[q0 + x]) == k:
+                                worst[q0 + x] = best[q0 + x][-1][0]
         rows_ = [(ids[q], key, d) for q, found in enumerate(best) for d, key in found]
         if rows_:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), arrow, strict=True)], schema=arrow)

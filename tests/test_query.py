@@ -116,6 +116,16 @@ def test_latency_percentiles(spark):
     assert (r.p50, r.p90) == (6.0, sorted(values)[int(0.9 * len(values)) - 1])
 
 
+def test_percentiles_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "HELD", 50)
+    rng = random.Random(3)
+    for values in ([rng.gauss(0, 1) for _ in range(5000)], [1.0] * 3000 + [rng.random() for _ in range(900)], [2.0] * 4000, [7.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        r = metrics.latency_percentiles(df, "v").first()
+        assert (r.p50, r.p90) == (np.median(values), sorted(values)[max(int(0.9 * len(values)) - 1, 0)])
+    assert metrics.latency_percentiles(df.limit(0), "v").first() == (None, None)
+
+
 def test_cells_find_most(spark):
     df, schema, rows = records(spark, 300, 8)
     index = ann.CellIndex.fit(df, cells=8)
