@@ -92,7 +92,9 @@ def _grams(urls: DataFrame, *keys: str) -> DataFrame:
 
 def examples(spark: SparkSession, accepted: list[str] = ACCEPTED, rejected: list[str] = REJECTED) -> DataFrame:
     """name, url and rejected, of every name in every form."""
-    return spark.createDataFrame([(n, f.format(n), r) for names, r in ((accepted, False), (rejected, True)) for n in names for f in FORMS], "name string, url string, rejected boolean")
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("rejected")) for names, r in ((accepted, False), (rejected, True)) for n in names])
+    rows = spark.range(1).select(F.explode(named).alias("n")).select("n.*", F.explode(F.array(*map(F.lit, FORMS))).alias("form"))
+    return rows.select("name", F.replace("form", F.lit("{}"), F.col("name")).alias("url"), "rejected")
 
 
 def train(urls: DataFrame, needed: DataFrame) -> DataFrame:
@@ -100,6 +102,7 @@ def train(urls: DataFrame, needed: DataFrame) -> DataFrame:
     counts = _grams(urls, "rejected").groupBy("gram").agg(F.count_if("rejected").alias("n1"), F.count_if(~F.col("rejected")).alias("n0"))
     asked = needed.select("gram").distinct().withColumns({"n1": F.lit(0).cast("long"), "n0": F.lit(0).cast("long")})
     model = counts.unionByName(asked).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumnRenamed("gram", f"g{ORDER}")
+    model = materialise(model, "url-grams")  # at most SYMBOLS ** ORDER rows, read once for each level
     model = model.withColumns({f"g{k}": F.right(f"g{ORDER}", F.lit(k)) for k in range(1, ORDER)})
     levels = None
     for k in range(1, ORDER + 1):
