@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, p: ForestParams) -> DataFrame:
                 ],
                 names=["doc_id", "text_key", "n_shingles", "fp", "sig"],
             )
+        _words.clear()  # a worker outlives its task
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, fp binary, sig binary")
@@ -374,6 +375,7 @@ def full_sets(docs: DataFrame, near: DataFrame, p: ForestParams) -> DataFrame:
                 out += [(x["id"], raw, sketch(s, a, b).tobytes()) for x in of if x["fp"] == fp]
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "set", "sketch"])
+        _words.clear()
 
     wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "id")).alias("of"))  # one, but for ids with different texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")

@@ -57,6 +57,16 @@ def op10_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6 what SQL can say: the base kinds."""
+    return op6_pii_spans(spark, sf_dir).drop("spans")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7 what SQL can say: all but the method's verdict."""
+    return op7_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,13 +87,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_block_neighbours,
         op10_template_extract,
         pipeline,
+        pii_base_spans,
+        url_rules,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+#: kind, pattern, and what a match must be.
+_PII = (
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "TRUE"),
+    ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(nullif(ltrim(x, '0'), '')::INT, 0) END)) <= 255"),
+    (
+        "card",
+        "[0-9]([ -]?[0-9])+",
+        f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0",
+    ),
+    ("phone", "\\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+)
+
+
+def _pii_sql() -> str:
+    parts = []
+    for k, (kind, pattern, valid) in enumerate(_PII):
+        parts.append(f"""SELECT doc_id, {k} k, '{kind}' kind, s, s + length(m) e FROM (
+SELECT doc_id, ms[i] m, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT s
+FROM (SELECT doc_id, ms, string_split_regex(text, '{pattern}') gaps, unnest(range(1, len(ms) + 1)) i FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') ms FROM documents WHERE text IS NOT NULL))) WHERE {valid}""")
+    counts = ", ".join(f"count(*) FILTER (k = {k}) n_{kind}" for k, (kind, *_) in enumerate(_PII))
+    return f"""WITH p AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) l FROM p GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT n_{kind}" for kind, *_ in _PII)}, sha256(coalesce(l, '')) base_sha256 FROM documents LEFT JOIN g USING (doc_id)"""
+
+
 ORACLE: dict[str, str] = {
+    "pii_base_spans": _pii_sql(),
+    "url_rules": """
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path FROM pages)
+SELECT page_id, host, path,
+CASE WHEN r = 1 THEN 'example.net/en/' WHEN r = 2 THEN 'example.com/de/' WHEN r = 3 THEN 'org/fr/' WHEN r = 4 THEN 'net/' END AS rule,
+CASE WHEN r IN (1, 3) THEN 'allow' WHEN r IN (2, 4) THEN 'block' END AS ruled
+FROM (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 1 WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 2
+WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 3 WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 4 END r FROM u)""",
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
 i AS (SELECT item_id, {_WORDS} w FROM benchmark),

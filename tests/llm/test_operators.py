@@ -600,3 +600,33 @@ def test_classes_equal_full_occurrence_vectors(spark):
 def test_columns_that_clash(spark, docs):
     assert op6_pii.redact(op6_pii.find(docs), docs.columns).columns == docs.columns
     assert op2_decontaminate.find(docs, docs.select(F.col("doc_id").alias("item_id"), "text", "hit")).count() == docs.count()
+    extra = "piece start length ids part rank sequence_id offset base n block idx tokens b t blob bucket kind word findings count".split()
+    wide = docs.select("doc_id", "text", "n_chars", *[F.lit(f"{c}!").alias(c) for c in extra])
+    narrow = docs.select("doc_id", "text")
+    for run in (lambda d: op4_packing.pack(d, 64, keep_ids=False), lambda d: op5_lm.score(d, d), op3_neardup.near_duplicates):
+        one, two = run(wide), run(narrow)
+        assert one.columns == two.columns
+        some = [c for c in two.columns if c not in ("sequence_id", "offset")]
+        assert sorted(map(str, one.select(some).collect())) == sorted(map(str, two.select(some).collect()))
+    found = op6_pii.find(wide)
+    assert found.where("count <> 'count!' or findings is null").count() == 0
+
+
+def test_pii_of_repeated_rows_and_null_ids(spark):
+    text = "mail a@b.org or 1.2.3.4"
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, "é" * 70_000 + " a@b.org " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_email, r.n_ip) for r in op6_pii.digest(op6_pii.find(df)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 1), (1, 1, 1), (None, 1, 1), (None, 0, 0), (2, 300, 0)], key=str)
+    (long,) = [r.text for r in op6_pii.redact(op6_pii.find(df), ["doc_id", "text"]).where("doc_id = 2").collect()]
+    assert long == "é" * 70_000 + " [EMAIL] " * 300
+    after = spark.createDataFrame([(1, "078-05-1120 is my ssn")], "doc_id long, text string")
+    assert op6_pii.redact(op6_pii.find(after), ["text"]).first().text == "[ID_NUMBER] is my ssn"
+
+
+def test_one_training_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}", 1) for k in range(2000)] + [(4, "other", 1), (4, None, 1)], "doc_id long, text string, n_chars long").repartition(7)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0)], "doc_id long, quality int")
+    rows = op1_quality.training_rows(docs, labels, op1_quality.FMParams(sample=10)).collect()
+    ids = [i for i in (1, 4) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(r.label_id for r in rows) == ids and [r for r in rows] == op1_quality.training_rows(docs.repartition(3), labels, op1_quality.FMParams(sample=10)).collect()
