@@ -39,14 +39,35 @@ PLAIN = re.compile("[!-~¡-įı-ž]+")
 END = (1).to_bytes(4, "little")
 
 
+class _Generations:
+    """Values that were made lately."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def again(self, key) -> bytes | None:
+        """An old value, young again."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old = dict(self.young)
+            self.young.clear()  # the dict that readers hold stays the same
+        self.young[key] = value
+
+
 class CachedTokenizer:
     """ids of a text as little-endian bytes, equal to ``encode(text, add_special_tokens=False)``.
 
     This tokenizer drops white space and never merges across it, so a text's ids are its
-    chunks' ids in order. Chunks and their letter runs are remembered up to a bound.
+    chunks' ids in order. Chunks and their letter runs are remembered in two generations: when the young one is full the old one goes, and what is
+    met again becomes young, so frequent words stay.
     """
 
-    def __init__(self, path: str, chunks: int = 300_000, pieces: int = 100_000) -> None:
+    def __init__(self, path: str, chunks: int = 200_000, pieces: int = 100_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -56,32 +77,34 @@ class CachedTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these bytes stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.chunks, self.pieces, self.bounds = {}, {}, (chunks, pieces)
+        self.chunks, self.pieces = _Generations(chunks), _Generations(pieces)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        ids = self.pieces.young.get(piece) or self.pieces.again(piece)
         if ids is None:
-            if len(self.pieces) >= self.bounds[1]:
-                self.pieces.clear()
             symbols = piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+            self.pieces.keep(piece, ids)
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if (ids := self.chunks.again(chunk)) is not None:
+            return ids
         text = chunk.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
             ids = b"".join(map(self._piece, self.split(text.lower())))
         else:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
-            if len(self.chunks) >= self.bounds[0]:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+            self.chunks.keep(chunk, ids)
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        chunks, get = text.split(), self.chunks.get
-        return b"".join([get(c) or self._chunk(c) for c in chunks])
+        out = []
+        for part in range(0, len(chunks := text.split()), 50_000):
+            get = self.chunks.young.get
+            out += [get(c) or self._chunk(c) for c in chunks[part : part + 50_000]]
+        return b"".join(out)
 
 
 _loaded: dict[str, CachedTokenizer] = {}
