@@ -73,7 +73,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, their token ids (little-endian bytes) and their places in sequences of 4096 tokens."""
-    return op4_packing.pack(docs)
+    return op4_packing.pack(docs, remembered=200_000)  # its workers serve the other stages as well
 
 
 STAGES = [
