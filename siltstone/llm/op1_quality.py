@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, slices, utf8
+from .common import extended, released, slices, utf8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MARK = re.compile(rb"[^0-9A-Za-z\x80-\xff\s]")
@@ -185,7 +185,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: FMParams) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, p: FMParams = FMParams()) -> FactorisationMachine:
     rows = training_rows(docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")), labels.select("doc_id", "quality"), p)
-    got = rows.select("text", "n_chars", "label").mapInArrow(_featurise(p.dims), "label int, ids binary, vals binary").toArrow().to_pydict()
+    got = rows.select("text", "n_chars", "label").mapInArrow(released(_featurise(p.dims)), "label int, ids binary, vals binary").toArrow().to_pydict()
     order = sorted(range(len(got["label"])), key=lambda i: (got["ids"][i], got["label"][i]))
     docs_ = [(np.frombuffer(got["ids"][i], np.int32), np.frombuffer(got["vals"][i], np.float32)) for i in order]
     return FactorisationMachine(p).fit(docs_, np.array([got["label"][i] for i in order], np.float64))
@@ -205,5 +205,5 @@ def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = extended(docs.select(keep).schema, "score double")
-    out = docs.select(keep).mapInArrow(run, schema)
+    out = docs.select(keep).mapInArrow(released(run), schema)
     return out.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, materialise, slices, utf8
+from .common import extended, materialise, released, slices, utf8
 
 #: Everything that isn't a word byte becomes a space; A-Z become a-z.
 NORMAL = bytes((c | 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -155,7 +155,7 @@ def _scan(docs: DataFrame, windows: Windows, cut: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = docs.schema if again else extended(docs.schema, ", ".join(map(" ".join, ADDED.items())))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 1_000_000, cut: bool = False) -> DataFrame:

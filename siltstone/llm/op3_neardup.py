@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, utf8
+from .common import discard, materialise, released, slices, utf8
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], np.uint64)
 
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, p: ForestParams) -> DataFrame:
         _words.clear()  # a worker outlives its task
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, fp binary, sig binary")
+    return rows.mapInArrow(released(run), "doc_id long, text_key long, n_shingles long, fp binary, sig binary")
 
 
 def _entries(reps: DataFrame, p: ForestParams) -> DataFrame:
@@ -153,7 +153,7 @@ def _entries(reps: DataFrame, p: ForestParams) -> DataFrame:
                     columns = [pa.array(np.full(n, t, np.int32)), key, part.column("id"), part.column("n").cast(pa.int32()), part.column("sketch")]
                     yield pa.RecordBatch.from_arrays(columns, names=["tree", "key", "id", "n", "sketch"])
 
-    return reps.select("id", "n", "sig", "sketch").mapInArrow(run, "tree int, key binary, id long, n int, sketch binary")
+    return reps.select("id", "n", "sig", "sketch").mapInArrow(released(run), "tree int, key binary, id long, n int, sketch binary")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, estimates: np.ndarray) -> np.ndarray:
@@ -214,7 +214,7 @@ def _neighbours(p: ForestParams):
 def candidates(reps: DataFrame, p: ForestParams) -> DataFrame:
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = _entries(reps, p).repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return sorted_.mapInArrow(_neighbours(p), "a long, b long").distinct()
+    return sorted_.mapInArrow(released(_neighbours(p)), "a long, b long").distinct()
 
 
 def prefixes(reps: DataFrame, p: ForestParams) -> DataFrame:
@@ -227,7 +227,7 @@ def prefixes(reps: DataFrame, p: ForestParams) -> DataFrame:
             for t in range(p.trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(prefix[:, t]), batch.column("id")], names=["tree", "prefix", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "tree int, prefix long, id long")
+    return reps.select("id", "sig").mapInArrow(released(run), "tree int, prefix long, id long")
 
 
 def alive(reps: DataFrame, p: ForestParams) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +274,7 @@ def _cells(reps: DataFrame, p: ForestParams) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*cell, rest_.column("id"), rest_.column("comp"), rest_.column("n").cast(pa.int32()), rest_.column("sketch"), rest_.column("of")], names=["prefix", "i", "j", "side", "id", "comp", "n", "sketch", "of"])
                         row, at = [], []
 
-    return reps.select("id", "comp", "n", "sketch", "dealt").mapInArrow(run, "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary, of binary")
+    return reps.select("id", "comp", "n", "sketch", "dealt").mapInArrow(released(run), "prefix long, i int, j int, side int, id long, comp long, n int, sketch binary, of binary")
 
 
 def _met(p: ForestParams, forest: bool):
@@ -356,7 +356,7 @@ def met(near: DataFrame, members: DataFrame, p: ForestParams, forest: bool) -> D
     dealt = of.select("tree", "prefix", "id").join(mixed.hint("merge"), "prefix").groupBy("id").agg(F.collect_list(F.struct("tree", "prefix", "main", "large", "rest")).alias("dealt"))  # at most one a tree
     n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = _cells(near.join(dealt.hint("merge"), "id"), p).repartition(n, "prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
-    out = materialise(cells.mapInArrow(_met(p, forest), "a long, b long").distinct(), "met")
+    out = materialise(cells.mapInArrow(released(_met(p, forest)), "a long, b long").distinct(), "met")
     discard(of)
     return out
 
@@ -379,7 +379,7 @@ def full_sets(docs: DataFrame, near: DataFrame, p: ForestParams) -> DataFrame:
 
     wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "id")).alias("of"))  # one, but for ids with different texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = texts.join(wanted.hint("merge"), "doc_id").select("text", "of").mapInArrow(run, "id long, set binary, sketch binary")
+    found = texts.join(wanted.hint("merge"), "doc_id").select("text", "of").mapInArrow(released(run), "id long, set binary, sketch binary")
     return materialise(found.dropDuplicates(["id"]), "sets")
 
 
@@ -401,7 +401,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: ForestParams) -> DataFrame:
         pairs.join(used.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
         .join(used.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         .select("a", "b", "x", "y")
-        .mapInArrow(compare, "a long, b long")
+        .mapInArrow(released(compare), "a long, b long")
     )
     links = materialise(out.distinct(), "links")
     discard(used, pairs)

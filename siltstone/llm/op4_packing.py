@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, materialise, slices, utf8
+from .common import extended, materialise, released, slices, utf8
 
 #: Chunks of these characters only go the short way: lower case, split, merge, without
 #: normalisation. (Letters that fold to two characters, spaces and control characters are not among them.)
@@ -148,7 +148,7 @@ def tokenise(docs: DataFrame, vocabulary: str, limit: int, remembered: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "piece", "start", "length", "ids", "part", "rank"])
 
     schema = extended(docs.select("doc_id").schema, "piece int, start long, length long, ids binary, part int, rank long")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 class Capacities:
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, limit: int = 4096, vocabulary: str | None = None, keep
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:-1]), pa.array(bins), pa.array(offsets)], names=[*columns[:-1], "sequence_id", "offset"])
 
     schema = extended(ranked.select(columns[:-1]).schema, "sequence_id long, offset long")
-    return ranked.select(columns).mapInArrow(place, schema)
+    return ranked.select(columns).mapInArrow(released(place), schema)
 
 
 def _with_crc(pieces: DataFrame) -> DataFrame:
