@@ -65,6 +65,15 @@ def test_decontamination_cuts_passages_of_long_documents(spark, tmp_path):
     assert got[1].text.split() == f"{before} {after}".split() and got[1].n_chars == len(got[1].text)
 
 
+def test_near_duplicates_takes_shingles_of_five_words(spark, tmp_path):
+    rows = []
+    for first, n in ((1, 44), (3, 60)):  # one word differs: 37 of 45 shingles of four words are shared, 35 of 45 of five; 51 of 61 of five
+        words = [f"w{first}x{i}" for i in range(n)]
+        rows += [(first, " ".join(words), "en", "s", 1), (first + 1, " ".join([*words[:20], "other", *words[21:]]), "en", "s", 1)]
+    docs = tables(spark, tmp_path, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 2, 3]
+
+
 def test_near_duplicates_removes_rows_not_ids(spark, tmp_path):
     rng = random.Random(10)
     a, b, c, d = (prose(60, rng) for _ in range(4))
