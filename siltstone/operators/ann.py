@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
-from ..functions import distance
 from ..plans import query as plans
 from ..plans.predicate import comparisons, parse
 from ..sources.schema import Schema
+from .batch import best_rows
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class CellIndex:
 
     @staticmethod
     def fit(records: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 1) -> CellIndex:
-        rows = records.where("vector is not null").select("vector").orderBy(F.xxhash64("vector")).limit(sample).collect()
+        rows = _sample(records.where("vector is not null").select("vector"), sample)
         if not rows:
             raise InvalidArgument("no vectors to fit on")
         x = np.array([r.vector for r in rows], np.float64)
@@ -49,13 +50,13 @@ class CellIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vectors = batch.column("vector").to_pylist()
-                have = [i for i, v in enumerate(vectors) if v is not None]
-                cells: list[int | None] = [None] * len(vectors)
-                if have:
-                    for i, n in zip(have, _nearest(np.array([vectors[i] for i in have], np.float64), c).tolist(), strict=True):
-                        cells[i] = n
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], names=[*batch.schema.names, "cell"])
+                vectors = batch.column("vector")
+                have, cells = vectors.is_valid().to_numpy(zero_copy_only=False), np.zeros(len(vectors), np.int32)
+                if have.any():
+                    if not pc.all(pc.equal(pc.list_value_length(vectors), c.shape[1])).as_py():
+                        raise InvalidArgument(f"vectors of other lengths than the index's {c.shape[1]}")
+                    cells[have] = _nearest(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, c.shape[1]), c)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, mask=~have)], names=[*batch.schema.names, "cell"])
 
         return records.mapInArrow(run, T.StructType([*records.schema.fields, T.StructField("cell", T.IntegerType())]))
 
@@ -76,19 +77,17 @@ class CellIndex:
 
     def knn_join(self, queries: DataFrame, assigned: DataFrame, k: int, metric: str = "l2", probes: int = 8) -> DataFrame:
         """query_key, rank, key, distance: each query's ``k`` nearest rows of its ``probes`` cells. ``queries``: key, vector; ``assigned``: key, vector, cell.
-        Queries are joined with rows by cell, a query's copies being at most ``probes``."""
-        c, kind = self.centroids, queries.schema
+        Rows stay where they are: a task meets them with the queries of their cells and sends each query's ``k`` best, as ``batch.knn_join`` does."""
+        c = self.centroids
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vectors = batch.column("vector").to_pylist()
-                cells = [np.argsort(((c - np.asarray(v, np.float64)) ** 2).sum(1), kind="stable")[:probes].tolist() for v in vectors]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("vector"), pa.array(cells, pa.list_(pa.int32()))], names=["query_key", "query_vector", "cells"])
-
-        schema = T.StructType([T.StructField("query_key", kind["key"].dataType), T.StructField("query_vector", kind["vector"].dataType), T.StructField("cells", T.ArrayType(T.IntegerType()))])
-        asked = queries.where("vector is not null").select("key", "vector").mapInArrow(run, schema).select("query_key", "query_vector", F.explode("cells").alias("cell"))
-        pairs = asked.join(assigned.where("vector is not null").select("key", "vector", "cell"), "cell")
-        d = pairs.select("query_key", "key", distance.distance(F.col("vector"), F.col("query_vector"), metric).cast("double").alias("distance"))
+        def reads(vectors: np.ndarray) -> np.ndarray:
+            out, step = np.zeros((len(vectors), len(c)), bool), max(1, 2**20 // c.size)
+            for s in range(0, len(vectors), step):
+                d = ((c[None] - vectors[s : s + step, None]) ** 2).sum(2)
+                np.put_along_axis(out[s : s + step], np.argsort(d, axis=1, kind="stable")[:, :probes], True, 1)
+            return out
+
+        d = best_rows(queries, assigned, k, metric, reads)
         rank = Window.partitionBy("query_key").orderBy("distance", "key")
         return d.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_key", "rank", "key", "distance")
 
@@ -97,5 +96,16 @@ class CellIndex:
         return plans.plan(some, schema, filter, vector, options)
 
 
+def _sample(vectors: DataFrame, size: int) -> list:
+    """The ``size`` rows of the smallest hashes. Of more rows, only those with a hash in the lowest part are ordered: as large a part as gives enough of them."""
+    order, part = F.xxhash64("vector"), 1.1 * size / max(vectors.count(), 1)
+    while True:
+        some = vectors if part >= 1 else vectors.where(order < F.lit(int(part * 2**64) - 2**63))
+        rows = some.orderBy(order).limit(size).collect()
+        if part >= 1 or len(rows) == size:
+            return rows
+        part *= 4
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([((c * c).sum(1)[None] - 2 * x[s : s + 4096] @ c.T).argmin(1) for s in range(0, len(x), 4096)])

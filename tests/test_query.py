@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,52 @@ def test_cells_find_most(spark):
     assert index.search(assigned, schema, None, rows[1][1], options, probes=8).count() == 10
 
 
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_search_of_cells_sends_the_best_rows_not_all_pairs(spark, metric):
+    df, _, _ = records(spark, 3000, 4, metric=metric)
+    df = df.select(F.lpad(F.col("key").cast("string"), 5, "0").alias("key"), "vector")
+    df = df.union(df.where("key < '00040'").select(F.concat("key", F.lit("x")), "vector")).repartition(5)  # copies: ties go by the key
+    index = ann.CellIndex.fit(df, cells=6)
+    assigned, asked = index.assign(df), df.where("substring(key, 1, 5) % 50 = 1 or key = '00003x'")
+    found = index.knn_join(asked, assigned, 5, metric, probes=3)
+    plan_ = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan_ and "Generate" not in plan_ and plan_.count("Exchange hashpartitioning") == 1
+    rows, expected = [r for r in assigned.collect() if r.vector], {}
+    x = np.array([r.vector for r in rows], np.float64)
+    for r in asked.where("vector is not null").collect():
+        probed, q = index.probes(r.vector, 3), np.array(r.vector, np.float64)
+        d = batch._distances(np.tile(q, (len(x), 1)), x, metric).tolist()
+        expected[r.key] = sorted((e, row.key) for e, row in zip(d, rows, strict=True) if row.cell in probed)[:5]
+    got: dict = {}
+    for r in found.orderBy("query_key", "rank").collect():
+        got.setdefault(r.query_key, []).append((r.distance, r.key))
+    assert got == expected and len(got) > 50
+    assert index.knn_join(df.where("key < '0'"), assigned, 5, metric).count() == 0
+
+
+def test_copies_are_compared_k_times_a_tile(monkeypatch):
+    compared = []
+    monkeypatch.setattr(batch, "_distances", lambda q, r, metric, f=batch._distances: compared.append(len(q)) or f(q, r, metric))
+    same, other = [0.5] * 8, [0.25] * 8
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4096, 0, -1)), pa.array([same] * 4000 + [other] * 96, pa.list_(pa.float32()))], names=["key", "vector"])
+    kinds = pa.schema([("query_key", pa.int64()), ("key", pa.int64()), ("distance", pa.float64())])
+    (out,) = batch._best(list(range(30)), np.array([same] * 30), "l2", 5, kinds)(iter([rows]))
+    assert {q: [r["key"] for r in out.to_pylist() if r["query_key"] == q] for q in range(30)} == {q: [97, 98, 99, 100, 101] for q in range(30)}
+    assert sum(compared) <= 30 * 2 * 10
+
+
+def test_fit_orders_few_more_rows_than_its_sample(spark, monkeypatch):
+    df, _, _ = records(spark, 4000, 4)
+    ordered, wanted = [], df.where("vector is not null").select("vector").orderBy(F.xxhash64("vector")).limit(100).collect()
+    monkeypatch.setattr(type(df), "orderBy", lambda self, *by, f=type(df).orderBy: ordered.append(self.count()) or f(self, *by))
+    index = ann.CellIndex.fit(df, cells=8, sample=100)
+    assert sum(ordered) < 1000
+    monkeypatch.undo()
+    assert (index.centroids == ann.CellIndex.fit(spark.createDataFrame(wanted, "vector array<float>"), cells=8, sample=100).centroids).all()
+    some = df.select(F.when(F.col("key") % 100 > 0, F.array(F.lit(1.0))).otherwise(F.slice("vector", 1, 1).cast("array<double>")).alias("vector")).where("vector is not null")  # copies outside the lowest part
+    assert len(ann._sample(some, 100)) == 100 and ann._sample(some, 100) == some.orderBy(F.xxhash64("vector")).limit(100).collect()
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_registered_cells_find_nine_of_ten(spark, sf, monkeypatch):
     used = []
